@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.session import importable
+
 #: Rows of one Arrow batch at most, so that long texts do not pile up in a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
@@ -44,12 +46,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits where they are higher than ours."""
+    """Ready a session for Python workers: importable package, Arrow batches no larger than ours."""
+    importable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def one_task_each(files: DataFrame, name: str) -> DataFrame:
+    """Deal a list of files out to about a task each, at most 10,000; small rows would else be coalesced."""
+    return files.repartitionByRange(max(1, min(files.count(), 10_000)), name)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI: local, HDFS or an object store."""
     from pyarrow import fs

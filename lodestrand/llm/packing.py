@@ -175,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     All other columns are kept, but for columns named uid, level, sequence_id or offset, which are
     replaced. Equal rows stay apart. An empty table gives an empty table.
     """
-    spark = pieces.sparkSession
+    bounded_batches(pieces.sparkSession)
     kept = [c for c in pieces.columns if c not in ("uid", "level", "sequence_id", "offset", "grp", "open")]
     # Ids are made once and read from the written table, so that a repeated task sees the same ones.
     left = materialise(pieces.select(*kept).withColumn("uid", F.monotonically_increasing_id()), "pieces")

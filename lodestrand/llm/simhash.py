@@ -93,99 +93,121 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning_edges(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs at `distance` or less connect, and no more than one less than the rows."""
-    n = len(fps)
-    parent = list(range(n))
+class Forest:
+    """Union-find over n rows that keeps the edges which joined two trees."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return int(i)
+
+    def join(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.edges.append((i, j))
+
+    def add(self, near: np.ndarray, first: int, second: int) -> None:
+        """Join what a matrix of rows from `first` and columns from `second` says is near."""
+        while True:
+            root = self.roots()
+            left, right = root[first : first + near.shape[0]], root[second : second + near.shape[1]]
+            apart = near & (left[:, None] != right[None, :])
+            rows = np.flatnonzero(apart.any(1))
+            if not len(rows):
+                return
+            for i, j in zip(rows.tolist(), apart[rows].argmax(1).tolist(), strict=True):
+                self.join(first + i, second + j)
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    edges: list[tuple[int, int]] = []
+def spanning_edges(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs at `distance` or less connect, and no more than one less than the rows.
+
+    A group around one row is settled by that row alone; only what is left apart is compared further.
+    """
+    n = len(fps)
+    forest = Forest(n)
+    for i in range(min(n, 4)):
+        forest.add((np.bitwise_count(fps[i] ^ fps) <= distance)[None, :], i, 0)
     for a in range(0, n, BLOCK):
-        left = fps[a : a + BLOCK]
         for b in range(a, n, BLOCK):
-            near = np.bitwise_count(left[:, None] ^ fps[None, b : b + BLOCK]) <= distance
-            while True:
-                la = np.array([root(i) for i in range(a, a + len(left))])
-                lb = np.array([root(i) for i in range(b, min(b + BLOCK, n))])
-                apart = near & (la[:, None] != lb[None, :])
-                rows = np.flatnonzero(apart.any(1))
-                if not len(rows):
-                    break
-                for i, j in zip(rows, apart[rows].argmax(1), strict=True):
-                    x, y = root(a + int(i)), root(b + int(j))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        edges.append((a + int(i), b + int(j)))
-    return edges
+            root = forest.roots()
+            if len(np.unique(np.concatenate([root[a : a + BLOCK], root[b : b + BLOCK]]))) > 1:
+                forest.add(np.bitwise_count(fps[a : a + BLOCK, None] ^ fps[None, b : b + BLOCK]) <= distance, a, b)
+    return forest.edges
 
 
 def bucket_edges(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Edges within a bucket; a large one is first cut by finer variants, which loses no pair.
+    """Edges within a large bucket, cut by finer variants first, which loses no pair.
 
-    The finer index has twice the segments over the whole fingerprint. Pairs within the distance
-    have one segment of it that differs in at most one bit, so they meet in one of its buckets.
+    The finer index blanks one bit over the whole fingerprint. Pairs within the distance have one of its
+    segments that differs in at most one bit, so they meet in one of its buckets.
     """
-    if len(fps) <= LARGE_BUCKET:
-        for i, j in spanning_edges(fps, distance):
-            yield int(fps[i]), int(fps[j])
-        return
-    finer: dict[int, int] = {}
     for _, mask in variant_keys(distance, 1):
         key = fps & np.uint64(mask)
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for run in np.split(order, cuts):
+        for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(run) > 1:
-                part = fps[np.sort(run)]
-                for i, j in spanning_edges(part, distance):
-                    a, b = int(part[i]), int(part[j])
-                    if finer.get(a) != b:
-                        finer[a] = b
-                        yield a, b
+                for i, j in spanning_edges(fps[run], distance):
+                    yield run[i], run[j]
 
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint_edges(distinct: DataFrame, distance: int, blank_bits: int = 4) -> DataFrame:
-    """Edges (u, v) between distinct 64-bit fingerprints (column fp), enough for their components.
+def _key_columns(variants: list[tuple[int, int]], word: str, first: int = 0) -> list:
+    """A hash of each variant's number and the bits that it keeps; a chance collision is only one more
+    candidate, which verification drops."""
+    return [F.xxhash64(F.lit(first + k), F.col(word).bitwiseAND(F.lit(_signed(mask)))) for k, mask in variants]
+
 
-    The variants are dealt by an equality key and sorted, so that a bucket's rows lie together; a
-    bucket that holds one fingerprint costs no Python object.
+def linked(rows: DataFrame, distance: int, exact: bool) -> DataFrame:
+    """Edges (u, v) from rows of (key, node, fp): of each key's rows those within `distance`, as forests.
+
+    Rows are dealt by key and sorted, so that a bucket's lie together; a bucket of one costs no Python
+    object. `exact`: the distance is that of the index, so a large bucket may be cut by a finer one.
     """
-    # A hash of the variant's number and the bits that it keeps; a chance collision is only one more
-    # candidate that verification drops.
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for k, mask in variant_keys(distance, blank_bits)])
-    rows = distinct.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    bounded_batches(rows.sparkSession)
+    dealt = rows.select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
+        held_key, nodes, held = None, [], []
         out: list[tuple] = []
 
         def close() -> None:
-            fps = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            if len(fps) > 1:
-                out.extend((_signed(a), _signed(b)) for a, b in bucket_edges(fps, distance))
+            if sum(map(len, nodes)) > 1:
+                node, fps = np.concatenate(nodes), np.concatenate(held)
+                found = bucket_edges(fps, distance) if exact and len(fps) > LARGE_BUCKET else spanning_edges(fps, distance)
+                out.extend((int(node[i]), int(node[j])) for i, j in found if node[i] != node[j])
 
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            key, node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "fp"))
+            fp = fp.view(np.uint64)
             if not len(key):
                 continue
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             sizes = np.diff(cuts)
-            for r in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
+            ends = np.zeros(len(sizes), bool)
+            ends[[0, -1]] = True
+            for r in np.flatnonzero((sizes > 1) | ends):
                 a, b = cuts[r], cuts[r + 1]
-                if key[a] == held_key:
-                    held.append(fp[a:b])
-                    continue
-                close()
-                held_key, held = key[a], [fp[a:b].copy()]
+                if key[a] != held_key:
+                    close()
+                    held_key, nodes, held = key[a], [], []
+                nodes.append(node[a:b].copy())
+                held.append(fp[a:b].copy())
                 if len(out) >= 8192:
                     yield to_batch(out, EDGES)
                     out = []
@@ -193,7 +215,13 @@ def fingerprint_edges(distinct: DataFrame, distance: int, blank_bits: int = 4) -
         if out:
             yield to_batch(out, EDGES)
 
-    return rows.mapInArrow(link, "u long, v long")
+    return dealt.mapInArrow(link, "u long, v long")
+
+
+def fingerprint_edges(distinct: DataFrame, distance: int, blank_bits: int = 4) -> DataFrame:
+    """Edges (u, v) between distinct 64-bit fingerprints (column fp), enough for their components."""
+    keys = F.array(*_key_columns(variant_keys(distance, blank_bits), "fp"))
+    return linked(distinct.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), "fp"), distance, exact=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blank_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,3 +240,126 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blank_bi
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: the fingerprint only proposes, the shingles decide.
+
+#: Words of a shingle and the Jaccard similarity from which two texts are copies.
+COPY_WORDS, SIMILARITY = 5, 0.8
+#: Fingerprint words (64 bits each) that are indexed, in segments of 32 bits, and the distance of the one
+#: further word within which two texts are compared at all.
+INDEXED_WORDS, SEGMENT_BITS, SKETCH_DISTANCE = 4, 32, 16
+#: Members and bytes of a block in which shingles are compared.
+BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+
+WIDE = pa.schema([("uid", pa.int64()), ("same1", pa.int64()), ("same2", pa.int64()), ("size", pa.int64()), *[(f"f{i}", pa.int64()) for i in range(INDEXED_WORDS + 1)]])
+
+
+def wide_simhash(text: str) -> list[int]:
+    """SimHash of the set of words, INDEXED_WORDS + 1 words of 64 bits, and two hashes of the sequence.
+
+    Of near copies a few words differ, each of which would change five shingles; over words the
+    fingerprints of such copies agree in more bits.
+    """
+    found = text.encode("utf-8").lower().split()
+    joined = b" ".join(found)
+    same = [xxhash.xxh64_intdigest(joined, seed) for seed in (1, 2)]
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(found)], np.uint64)
+    out = []
+    for i in range(INDEXED_WORDS + 1):
+        mixed = (h + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(mixed ^ mixed >> np.uint64(29)))
+    return [_signed(x) for x in (*same, len(joined), *out)]
+
+
+def jaccard_edges(texts: list[str], blocks: list[int], cross: bool) -> list[tuple[int, int]]:
+    """Forest edges between texts whose word shingles have at least the similarity.
+
+    cross: only pairs from different blocks count.
+    """
+    sets = [np.unique(shingle_hashes(t, COPY_WORDS)) for t in texts]
+    sizes = np.array([len(x) for x in sets], np.float32)
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, place, often = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    use = shared[place]
+    owner, place = owner[use], column[place[use]]
+    common = np.zeros((n, n), np.float32)
+    step = 4096
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for at in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(place, [at, at + step])
+        part = np.zeros((n, step), np.float32)
+        part[owner[a:b], place[a:b] - at] = 1
+        common += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - common
+    near = (common >= SIMILARITY * union - 1e-3) & (union > 0)
+    if cross:
+        block = np.array(blocks)
+        near &= block[:, None] != block[None, :]
+    forest = Forest(n)
+    forest.add(near, 0, 0)
+    return forest.edges
+
+
+def _verify(key, table):
+    uids = table.column("uid").to_pylist()
+    found = jaccard_edges(table.column("text").to_pylist(), table.column("block").to_pylist(), key[1].as_py() != key[2].as_py())
+    return pa.table([pa.array([uids[i] for i, _ in found], pa.int64()), pa.array([uids[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored, groups): the rows with a uid, and (uid, doc_id, root) of each.
+
+    Rows are in one group if a chain of texts connects them of which neighbours have equal words or
+    shingles of at least the similarity. Candidates come from deletion variants of a wide fingerprint
+    over words; a pair at the similarity itself is proposed with a probability of 0.98, closer ones
+    surely. All candidates are verified. Large groups of candidates are compared in pairs of blocks.
+    """
+    stored = materialise(docs.withColumn("uid", F.monotonically_increasing_id()), "with-uid")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+
+    def make(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            yield uid, *wide_simhash(text)
+
+    names = [f"f{i}" for i in range(INDEXED_WORDS + 1)]
+    texts = stored.select("uid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wide = texts.mapInArrow(arrow_rows(make, WIDE, 8192), "uid long, same1 long, same2 long, size long, " + ", ".join(f"{x} long" for x in names))
+    wide = materialise(wide, "wide-fingerprints")
+    classes = wide.groupBy("same1", "same2", "size").agg(F.min("uid").alias("node"), *[F.min(x).alias(x) for x in names])
+    classes = materialise(classes, "classes")
+    variants = variant_keys(2 * (64 // SEGMENT_BITS) - 1)
+    keys = [k for i, x in enumerate(names[:-1]) for k in _key_columns(variants, x, 1000 * i)]
+    proposed = linked(classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col(names[-1]).alias("fp")), SKETCH_DISTANCE, exact=False)
+    groups = components(proposed)
+    members = materialise(groups.join(texts, groups.node == texts.uid).select("root", "uid", "text"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    count = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("root", count.alias("blocks"))
+    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "uid", "block", "text")
+    verified = components(dealt.groupBy("root", "a", "b").applyInArrow(_verify, "u long, v long"))
+    same = wide.select("uid", "same1", "same2", "size").join(classes.select("same1", "same2", "size", "node"), ["same1", "same2", "size"])
+    named = same.join(verified, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
+    ids = stored.select("uid", F.col("doc_id").cast("long").alias("doc_id"))
+    return stored, materialise(named.join(ids, "uid"), "groups")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each group of copies: that with the smallest doc_id (null: last), then the first stored.
+
+    All columns are kept, but for one named uid, which goes. Null texts are empty, and copies of each other.
+    """
+    if "uid" in docs.columns:
+        docs = docs.drop("uid")
+    stored, groups = copies(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("uid"))
+    return stored.join(kept, "uid", "left_semi").select(*docs.columns)

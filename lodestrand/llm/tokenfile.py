@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, filesystem, id_text, materialise, scratch_path, to_batch
+from .common import bounded_batches, filesystem, id_text, materialise, one_task_each, scratch_path, to_batch
 from .tokenise import encoder
 
 SKIPPABLE = 0x184D2A5E
@@ -219,7 +219,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield to_batch(rows, READ)
 
     files = manifest.select("path", "start")
-    return files.repartition(F.col("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_task_each(files, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(path: str, wanted: Iterable[int | None]) -> dict[int | None, np.ndarray]:
