@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: from DataFrames to DataFrames, without knowledge of where the rows come from."""

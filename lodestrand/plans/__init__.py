@@ -1,7 +1,8 @@
-"""Query plans over the star-schema tables."""
+"""Query plans over the star-schema tables. Each re-expresses what an operator means on them."""
 
 from __future__ import annotations
 
+from lodestrand.plans import attribution, fingerprints, relational
 from lodestrand.plans.registry import Query
 
-REGISTRY: list[Query] = []
+REGISTRY: list[Query] = [*relational.QUERIES, *fingerprints.QUERIES, *attribution.QUERIES]

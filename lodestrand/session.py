@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,16 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+_own_root: list[str] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares; one of our own only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own_root:
+            _own_root.append("file://" + tempfile.mkdtemp(prefix="lodestrand-"))
+        root = _own_root[0]
+    return root.rstrip("/")
