@@ -24,8 +24,8 @@ from .tokenise import encoder
 CAPACITY = 4096
 #: Pieces of a group on average.
 GROUP_PIECES = 8192
-#: Free tokens up to which a bin is closed at its level.
-CLOSED_AT = 16
+#: Share of a bin that may be free when it is closed at its level.
+CLOSED_AT = 1 / 256
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -160,7 +160,7 @@ def _group_packer(level: int, last: bool, capacity: int):
                 sequence[i] = (level << 56) | (key[0].as_py() << 24) | b
                 offset[i] = at
                 at += lengths[i]
-            if not last and capacity - at > CLOSED_AT:
+            if not last and capacity - at > CLOSED_AT * capacity:
                 is_open[members] = True
         for name, values in (("sequence_id", sequence), ("offset", offset), ("open", is_open)):
             table = table.append_column(name, pa.array(values))

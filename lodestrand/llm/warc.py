@@ -156,6 +156,8 @@ class ArchiveWriter:
 def read_archive(stream, chunk: int = 1 << 20) -> Iterator[Record]:
     """The records of an archive, one frame each; `stream` needs read(n)."""
     held = stream.read(chunk)
+    while held and len(held) < 8 and (more := stream.read(chunk)):
+        held += more
     dictionary = None
     if len(held) >= 8 and struct.unpack("<I", held[:4])[0] == DICTIONARY_MAGIC:
         size = struct.unpack("<I", held[4:8])[0]
@@ -187,7 +189,8 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[Record]:
                     raise ArchiveError("the last frame is cut off")
         except zstandard.ZstdError as e:
             raise ArchiveError(f"a frame can't be decoded: {e}") from e
-        yield parse_record(b"".join(parts))
+        if content := b"".join(parts):  # other skippable frames hold nothing
+            yield parse_record(content)
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
