@@ -148,10 +148,10 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
             counted = spark.createDataFrame([], "term string, df long")
     else:
         counted = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
-    total = corpus.agg(F.count("*").alias("total"))
-    joined = together.join(counted, "term").crossJoin(F.broadcast(total))
-    reveals = F.log2(F.col("n_te") / F.col("n_e") * F.col("total") / F.col("df"))
-    own = F.log2(F.col("total") / F.col("docs_e"))
+    joined = together.join(counted, "term")
+    total = F.lit(float(corpus.count()))
+    reveals = F.log2(F.col("n_te") / F.col("n_e") * total / F.col("df"))
+    own = F.log2(total / F.col("docs_e"))
     share = F.when(own > 0, reveals / own).otherwise(0.0)
     flagged = joined.withColumn("share", share).filter(F.col("share") >= GENERALISE_FROM)
     term = F.struct("term", (F.col("share") >= REMOVE_FROM).alias("removed"))
