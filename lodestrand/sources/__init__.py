@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources and sinks of runs, corpora, lists and captures."""

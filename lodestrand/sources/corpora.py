@@ -1,0 +1,131 @@
+"""Corpora, lists and declarations. A list that is absent is None, never an empty list."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.functions.grams import K, grams
+from lodestrand.sources.runs import exists
+
+
+class PurposeError(ValueError):
+    """A corpus that is used for what it was not set aside for."""
+
+
+NEGATIVE = "half string, families array<struct<family:string,calls:array<struct<call_id:string,arguments:string,target:string,body:string,information:array<string>>>>>"
+POSITIVE = "transfers array<struct<transfer_id:string,channel:string,arguments:string,target:string,body_b64:string,detectable_by_design:boolean,not_detectable_reason:string>>"
+
+
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def driven_calls(spark: SparkSession, path: str) -> DataFrame:
+    """(server_id, tool, arguments as JSON text, ord), in the corpus's order."""
+    rows = _document(spark, path, "calls array<struct<server_id:string,tool:string,arguments:string>>")
+    return rows.select(F.posexplode("calls").alias("ord", "c")).select("c.*", "ord")
+
+
+def first_calls(calls: DataFrame, by: str, n: int) -> DataFrame:
+    """The first n calls of each, by their explicit order."""
+    from pyspark.sql import Window
+
+    return calls.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("ord"))).filter(F.col("_r") <= n).drop("_r")
+
+
+def negative_corpus(spark: SparkSession, path: str, purpose: str) -> DataFrame:
+    """Calls of a labelled half: half, family, call_id, arguments, target, body, information.
+
+    The half that is held out for the verdict is not read to calibrate, and the reverse.
+    """
+    rows = _document(spark, path, NEGATIVE)
+    halves = [r[0] for r in rows.select("half").distinct().limit(3).collect()]
+    if halves != [purpose]:
+        raise PurposeError(f"the corpus is {halves}, the purpose {purpose}")
+    return rows.select("half", F.explode("families").alias("f")).select("half", "f.family", F.explode("f.calls").alias("c")).select("half", "family", "c.*")
+
+
+def positive_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Known transfers, with their bodies as bytes."""
+    rows = _document(spark, path, POSITIVE).select(F.explode("transfers").alias("t")).select("t.*")
+    return rows.withColumn("body", F.unbase64("body_b64")).drop("body_b64")
+
+
+def control_reasons(transfers: DataFrame) -> DataFrame:
+    """Which transfers a byte-literal matcher must see, and why it can't see the others."""
+    sent = transfers.filter(F.coalesce("error", F.lit("")) == "")
+    reason = F.when(F.col("channel") == "header", "headers are not read").when(F.col("encoding").isin("base64", "gzip"), "re-encoded").when(~F.col("fragment_present"), "nothing was sent")
+    return sent.withColumn("not_detectable_reason", reason).withColumn("detectable_by_design", reason.isNull())
+
+
+def background(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) of the files that a pattern names; a forbidden one among them is an error."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    for name in forbidden:
+        if files.filter(F.col("path").endswith(name)).limit(1).count():
+            raise PurposeError(f"{name} is held out and may not be background")
+    return files
+
+
+def context_index(files: DataFrame, k: int = K, salt: str = "") -> DataFrame:
+    """(ref_id, digest): salted digests of the distinct grams of each context file; no bytes are kept."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("ref_id"), "content")
+    found = grams(named, "content", k).select("ref_id", "gram").distinct()
+    return found.select("ref_id", F.substring(F.sha2(F.concat(F.lit(salt).cast("binary"), F.col("gram")), 256), 1, 32).alias("digest"))
+
+
+@dataclass(frozen=True)
+class Listed:
+    """A list, and what to cite it by."""
+
+    rows: DataFrame
+    name: str
+    version: str
+    sha256: str
+
+
+def suffix_list(spark: SparkSession, path: str) -> Listed | None:
+    """A list of host suffixes, or None where there is none: its figures are then withheld."""
+    if not exists(spark, path):
+        return None
+    head = _document(spark, path, "list_name string, version string, suffixes array<string>").first()
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    rows = spark.createDataFrame([(s.lower(),) for s in head["suffixes"] or []], "suffix string")
+    return Listed(rows, head["list_name"], head["version"], digest)
+
+
+def constant_paths(spark: SparkSession, path: str) -> dict[str, list[str]] | None:
+    """Exact paths, prefixes and hosts that clients ask for whatever the call is, or None."""
+    if not exists(spark, path):
+        return None
+    head = _document(spark, path, "exact_paths array<struct<path:string>>, path_prefixes array<struct<prefix:string>>, hosts array<struct<host:string>>").first()
+    return {"paths": [r[0] for r in head[0] or []], "prefixes": [r[0] for r in head[1] or []], "hosts": [r[0] for r in head[2] or []]}
+
+
+def registry(defaults: DataFrame, extra: DataFrame | None) -> DataFrame:
+    """(suffix, class): the defaults and what a file adds to them."""
+    return defaults if extra is None else defaults.unionByName(extra).distinct()
+
+
+def declared_destinations(spark: SparkSession, path: str) -> DataFrame | None:
+    """(server, suffix, status, basis, launch_tool): declared hosts and known exceptions, or None."""
+    if not exists(spark, path):
+        return None
+    rows = _document(spark, path, "servers map<string,struct<hosts:array<string>,known_undeclared:map<string,string>,basis:string,launch_tool:string>>")
+    each = rows.select(F.explode("servers").alias("server", "d"))
+    hosts = each.select("server", F.explode("d.hosts").alias("suffix"), F.lit("declared").alias("status"), "d.basis", "d.launch_tool")
+    known = each.select("server", F.explode(F.map_keys("d.known_undeclared")).alias("suffix"), F.lit("known").alias("status"), "d.basis", "d.launch_tool")
+    return hosts.unionByName(known)
+
+
+def corpus_digest(files: DataFrame) -> str:
+    """One digest of several files: that of their contents, end to end, by path."""
+    import hashlib
+
+    total = hashlib.sha256()
+    for row in files.orderBy("path").select("content").toLocalIterator():
+        total.update(row[0])
+    return total.hexdigest()
