@@ -106,10 +106,10 @@ def attributed_call(discriminating: Column, contained: Column, matching: Column,
     A flow never goes back to a call that discrimination rejected.
     """
     return (
-        F.when(F.size(discriminating) == 1, discriminating.getItem(0))
+        F.when(F.size(discriminating) == 1, F.get(discriminating, F.lit(0)))
         .when((F.size(contained) > 0) & (F.size(discriminating) == 0), F.lit(None))
-        .when(F.size(matching) == 1, matching.getItem(0))
-        .when((F.size(active) == 1) & (F.size(contained) == 0), active.getItem(0))
+        .when(F.size(matching) == 1, F.get(matching, F.lit(0)))
+        .when((F.size(active) == 1) & (F.size(contained) == 0), F.get(active, F.lit(0)))
     )
 
 

@@ -89,7 +89,7 @@ def is_local_address(host: Column) -> Column:
     host = F.lower(F.trim(F.coalesce(host, F.lit(""))))
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     four = host.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
-    part = lambda i: F.split(host, r"\.").getItem(i).try_cast("int")
+    part = lambda i: F.get(F.split(host, r"\."), F.lit(i)).try_cast("int")
     a, b, c = part(0), part(1), part(2)
     # The address ranges of the registries for special-purpose addresses.
     private = (

@@ -85,10 +85,11 @@ def longest_common_run(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     Equal bytes lie on diagonals; a run is an island of one. left: (keys, a), right: (keys, b); a pair's
     rows are the product of its lengths over the frequency of bytes, so inputs are to be short.
     """
-    a = left.select(*keys, F.posexplode(F.split(F.hex("a"), "(?<=\\G..)")).alias("i", "x")).filter("x <> ''")
-    b = right.select(*keys, F.posexplode(F.split(F.hex("b"), "(?<=\\G..)")).alias("j", "y")).filter("y <> ''")
-    met = a.withColumnRenamed("x", "byte").join(b.withColumnRenamed("y", "byte"), [*keys, "byte"])
-    along = Window.partitionBy(*keys, "d").orderBy("i")
-    islands = met.withColumn("d", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(along))
-    runs = islands.groupBy(*keys, "d", "island").agg(F.count("*").alias("run"))
+    pairs = r"(?<=\G..)"
+    a = left.select(*keys, F.posexplode(F.split(F.hex("a"), pairs)).alias("_i", "_byte")).filter("_byte <> ''")
+    b = right.select(*keys, F.posexplode(F.split(F.hex("b"), pairs)).alias("_j", "_byte")).filter("_byte <> ''")
+    met = a.join(b, [*keys, "_byte"]).withColumn("_d", F.col("_i") - F.col("_j"))
+    along = Window.partitionBy(*keys, "_d").orderBy("_i")
+    islands = met.withColumn("_island", F.col("_i") - F.row_number().over(along))
+    runs = islands.groupBy(*keys, "_d", "_island").agg(F.count("*").alias("run"))
     return runs.groupBy(*keys).agg(F.max("run").alias("run"))

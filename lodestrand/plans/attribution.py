@@ -180,8 +180,7 @@ def event_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def asof_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was in flight for its user when each flow was seen; null before any state, empty after a drain."""
     flows, states = event_states(spark, sf_dir)
-    flows = flows.withColumn("user", F.col("user_id"))
-    found = as_of(flows.drop("user").withColumnRenamed("user_id", "u").withColumn("user_id", F.col("u")), states, ["user_id"], "ts", "active", "event_id")
+    found = as_of(flows, states, ["user_id"], "ts", "active", "event_id")
     return found.select("event_id", "user_id", F.array_join("active", ",").alias("in_flight"))
 
 
