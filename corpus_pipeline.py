@@ -28,9 +28,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and the terms that give it away."""
     found = sanitise.clean(sanitise.find(docs, keep=docs.columns))
-    text = F.when(F.col("kept.text").isNotNull(), F.col("cleaned"))
+    text = F.when(F.col("kept._had_text"), F.col("cleaned"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return found.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[(new[c] if c in new else F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

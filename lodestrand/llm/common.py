@@ -14,6 +14,8 @@ from lodestrand.session import importable, scratch_root
 #: Rows of one Arrow batch at most, so that long texts do not pile up in a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+#: Bits of a presence bitmap: at most 262,144 rows of 16 bytes are broadcast.
+PRESENCE_BITS = 1 << 24
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/lodestrand/{label}-{uuid.uuid4().hex}"
@@ -28,7 +30,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no result reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Add `likely`: false only for rows whose key is surely not among `wanted` (a column of the same name).
+
+    A bitmap of PRESENCE_BITS, of which the words that have a bit, at most PRESENCE_BITS / 64 rows, are
+    broadcast. So a join that few rows take part in need not move the wide rows that do not; if there
+    are too many keys for the bitmap, more rows are likely and the join is the same.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(PRESENCE_BITS))
+    bit = F.expr("shiftleft(1L, CAST(_place % 64 AS INT))")
+    word = F.floor(F.col("_place") / 64).alias("_word")
+    bits = wanted.select(place.alias("_place")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    placed = rows.withColumn("_place", place).withColumn("_word", F.floor(F.col("_place") / 64))
+    found = placed.join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("likely", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_place", "_word", "_bits")
 
 
 def bounded_batches(spark: SparkSession) -> None:

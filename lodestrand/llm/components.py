@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,8 +30,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").distinct(), "small-star")
+        before, edges = edges, materialise(small.filter("u <> v").distinct(), "small-star")
         now = _mark(edges)
+        discard(before, large)
         if now == seen:
             break
         seen = now

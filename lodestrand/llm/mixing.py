@@ -24,7 +24,7 @@ MOST_REPEATS = 3
 #: Words of a block at most, and blocks that the smallest source's target has at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1000
 #: Words and rows of a shard on average at most.
-SHARD_WORDS, SHARD_ROWS = 4_000_000, 100_000
+SHARD_WORDS, SHARD_ROWS = 1_000_000, 20_000
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:

@@ -15,14 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import likely, materialise
 
 #: The patterns of the base kinds. Written so that no part is tried twice: a local part or a
-#: number is entered at its first character only, or where the match before ended.
+#: number is entered at its first character only, or where the match before ended. A run of fewer than 13
+#: digits is no card, and neither is its rest, so such runs are not matched at all.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
@@ -161,12 +162,13 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, text (of rows with spans, or all with `keep`), kept, base (spans), more (term spans).
 
-    A null text is empty. Equal rows stay apart. Columns named in `keep` come along in `kept`.
+    A null text is empty. Equal rows stay apart. Columns named in `keep` come along in `kept`, but for
+    the text, which is there already; `_had_text` in it is false where it was null.
     """
     named = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
+        *([F.struct(F.col(f"`{text_col}`").isNotNull().alias("_had_text"), *[F.col(f"`{c}`") for c in keep if c != text_col]).alias("kept")] if keep else []),
     )
     found = base_spans(named).withColumn("uid", F.monotonically_increasing_id())
     if not keep:
@@ -176,7 +178,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     # One row for each entity that a document holds; what the document must lose is the union.
     holds = found.filter(F.size("spans") > 0).select("uid", F.explode(F.array_distinct(F.col("spans.value"))).alias("value"))
     lost = holds.join(terms, "value").groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
-    both = found.join(lost, "uid", "left")
+    lost = materialise(lost, "lost-terms")
+    # Few documents lose a term; the others are not moved to learn that.
+    marked = likely(found, "uid", lost)
+    some = marked.filter("likely").join(lost, "uid", "left")
+    none = marked.filter("NOT likely").withColumn("terms", F.lit(None).cast(lost.schema["terms"].dataType))
+    both = some.unionByName(none)
     names = F.array_distinct(F.transform("terms", lambda t: t["term"]))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
     both = both.withColumn("pattern", F.when(F.size("terms") > 0, pattern))

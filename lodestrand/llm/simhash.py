@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, id_text, materialise, to_batch
+from .common import arrow_rows, bounded_batches, discard, id_text, likely, materialise, to_batch
 from .components import components
 
 #: Members of a bucket that are compared in one matrix.
@@ -338,7 +338,10 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = [k for i, x in enumerate(names[:-1]) for k in _key_columns(variants, x, 1000 * i)]
     proposed = linked(classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col(names[-1]).alias("fp")), SKETCH_DISTANCE, exact=False)
     groups = components(proposed)
-    members = materialise(groups.join(texts, groups.node == texts.uid).select("root", "uid", "text"), "members")
+    # Most texts have no candidate: only those that may have one are moved.
+    nodes = groups.select(F.col("node").alias("uid"), "root")
+    members = likely(texts, "uid", nodes).filter("likely").drop("likely").join(nodes, "uid")
+    members = materialise(members.select("root", "uid", "text"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
     count = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
     sizes = sizes.select("root", count.alias("blocks"))
@@ -349,7 +352,9 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = wide.select("uid", "same1", "same2", "size").join(classes.select("same1", "same2", "size", "node"), ["same1", "same2", "size"])
     named = same.join(verified, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     ids = stored.select("uid", F.col("doc_id").cast("long").alias("doc_id"))
-    return stored, materialise(named.join(ids, "uid"), "groups")
+    found = materialise(named.join(ids, "uid"), "groups")
+    discard(wide, classes, members)
+    return stored, found
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

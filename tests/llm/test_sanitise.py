@@ -48,7 +48,7 @@ def test_base_spans_match_brute_force(spark):
     rng = random.Random(3)
     parts = [*"0123456789..--@@++() aZé😀_%\n", "a@b.co", "192.168.0.1", "4111 1111 1111 1111", "+1 (555) 010-9999", "256.1.1.1", "00000255.1.2.3", "4111-1111-1111-1112"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1000)]
-    texts += [None, "", "a@b.cd+e@f.gh", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "9" * 50_000, "a" * 200_000, "x@" * 30_000, "1 " * 40_000, "+1" + "(" * 50_000]
+    texts += [None, "", "a@b.cd+e@f.gh", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "9" * 50_000, "a" * 8_000, "x@" * 8_000, "1 " * 40_000, "+1" + "(" * 50_000]
     check(spark, texts)
 
 
