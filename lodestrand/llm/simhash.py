@@ -366,5 +366,10 @@ def without_copies(docs: DataFrame) -> DataFrame:
         docs = docs.drop("uid")
     stored, groups = copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
-    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("uid"))
-    return stored.join(kept, "uid", "left_semi").select(*docs.columns)
+    kept = groups.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = groups.join(kept.select("root", F.col("first.uid").alias("kept")), "root").filter("uid <> kept").select("uid")
+    gone = materialise(gone, "copies")
+    # Most rows stay: only those that may go are moved to learn whether they do.
+    marked = likely(stored, "uid", gone)
+    sure = marked.filter("NOT likely").select(*docs.columns)
+    return sure.unionByName(marked.filter("likely").join(gone, "uid", "left_anti").select(*docs.columns))
