@@ -288,7 +288,7 @@ def jaccard_edges(texts: list[str], blocks: list[int], cross: bool) -> list[tupl
     use = shared[place]
     owner, place = owner[use], column[place[use]]
     common = np.zeros((n, n), np.float32)
-    step = 4096
+    step = 1024
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     for at in range(0, int(shared.sum()), step):
@@ -296,8 +296,11 @@ def jaccard_edges(texts: list[str], blocks: list[int], cross: bool) -> list[tupl
         part = np.zeros((n, step), np.float32)
         part[owner[a:b], place[a:b] - at] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    near = (common >= SIMILARITY * union - 1e-3) & (union > 0)
+    near = np.zeros((n, n), bool)
+    for i in range(n):  # a row at a time, so that no second matrix of floats is held
+        union = sizes[i] + sizes - common[i]
+        near[i] = (common[i] >= SIMILARITY * union - 1e-3) & (union > 0)
+    del common
     if cross:
         block = np.array(blocks)
         near &= block[:, None] != block[None, :]
