@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded_batches, discard, id_text, likely, materialise, to_batch
@@ -315,13 +315,69 @@ def _verify(key, table):
     return pa.table([pa.array([uids[i] for i, _ in found], pa.int64()), pa.array([uids[j] for _, j in found], pa.int64())], names=["u", "v"])
 
 
+SHINGLES = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+
+
+def _spare(n: int) -> int:
+    """How many shingles are looked at beyond the fifth in which a copy may differ."""
+    return max(1, n // 20)
+
+
+def _shingle_rows(texts: DataFrame, whole: bool) -> DataFrame:
+    """(h, node, n) for each of the n distinct shingles of a text, or only for its smallest hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = np.unique(shingle_hashes(text, COPY_WORDS))
+                n = len(found)
+                h = (found if whole else found[: n // 5 + _spare(n)]).view(np.int64)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), n))], schema=SHINGLES)
+
+    return texts.mapInArrow(make, "h long, node long, n long")
+
+
+def prefix_edges(texts: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all pairs of distinct texts (uid, text) with at least the similarity, and others.
+
+    Of n shingles a text shares four fifths at least with a copy, so in any order that all texts keep, the
+    first fifth and one more hold the first shingle that both have, and the first fifth and k more hold the
+    first k. By hash, that drops texts which share too few of their first shingles with any other. The
+    rest are taken whole and ordered by how many texts have a shingle: the rarest fifth and one
+    more are joined, between texts whose numbers of shingles allow the similarity. No pair is lost.
+    """
+    first = _shingle_rows(texts, False)
+    often = first.withColumn("often", F.count("*").over(Window.partitionBy("h"))).filter("often > 1")
+    # A copy has four fifths of the shingles at least, so it may look at fewer.
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 20))
+    able = often.groupBy("node", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need)
+    able = materialise(able.select(F.col("node").alias("uid")), "sharing")
+    some = likely(texts, "uid", able).filter("likely").drop("likely").join(able, "uid").select("uid", "text")
+    rows = materialise(_shingle_rows(some, True), "shingles")
+    df = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = Window.partitionBy("node")
+    ranked = rows.join(df, "h").withColumn("shared", F.count("*").over(by_node))
+    ranked = ranked.withColumn("place", F.row_number().over(by_node.orderBy("df", "h")))
+    # Those that no other text has come first in the order.
+    rarest = ranked.filter(F.col("place") + F.col("n") - F.col("shared") <= F.floor(F.col("n") / 5) + 1)
+    # Sizes that allow the similarity are in the same or neighbouring levels, which differ by a factor of a little over 1.25.
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2501)))
+    rarest = rarest.select("h", "node", F.explode(F.array(level, level + 1)).alias("level"))
+    rarest = materialise(rarest, "rarest-shingles")
+    least = rarest.groupBy("h", "level").agg(F.min("node").alias("u"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    edges = materialise(rarest.join(least, ["h", "level"]).filter("u <> node").select("u", F.col("node").alias("v")).distinct(), "prefix-edges")
+    discard(able, rows, rarest)
+    return edges
+
+
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stored, groups): the rows with a uid, and (uid, doc_id, root) of each.
 
     Rows are in one group if a chain of texts connects them of which neighbours have equal words or
     shingles of at least the similarity. Candidates come from deletion variants of a wide fingerprint
-    over words; a pair at the similarity itself is proposed with a probability of 0.98, closer ones
-    surely. All candidates are verified. Large groups of candidates are compared in pairs of blocks.
+    over words, and from `prefix_edges`, which proposes every pair of at least the similarity. All
+    candidates are verified. Large groups of candidates are compared in pairs of blocks.
     """
     stored = materialise(docs.withColumn("uid", F.monotonically_increasing_id()), "with-uid")
     spark = docs.sparkSession
@@ -340,7 +396,14 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     variants = variant_keys(2 * (64 // SEGMENT_BITS) - 1)
     keys = [k for i, x in enumerate(names[:-1]) for k in _key_columns(variants, x, 1000 * i)]
     proposed = linked(classes.select(F.explode(F.array(*keys)).alias("key"), "node", F.col(names[-1]).alias("fp")), SKETCH_DISTANCE, exact=False)
-    groups = components(proposed)
+    same = wide.select("uid", "same1", "same2", "size").join(classes.select("same1", "same2", "size", "node"), ["same1", "same2", "size"])
+    same = materialise(same.select("uid", "node"), "same-words")
+    # Of equal texts one stands for all; only those that may be others are moved to learn that.
+    others = likely(texts, "uid", same.filter("uid <> node").select("uid"))
+    single = others.filter("NOT likely").select("uid", "text")
+    single = single.unionByName(others.filter("likely").join(same.filter("uid <> node").select("uid"), "uid", "left_anti").select("uid", "text"))
+    by_prefix = prefix_edges(single)
+    groups = components(proposed.unionByName(by_prefix))
     # Most texts have no candidate: only those that may have one are moved.
     nodes = groups.select(F.col("node").alias("uid"), "root")
     members = likely(texts, "uid", nodes).filter("likely").drop("likely").join(nodes, "uid")
@@ -352,11 +415,10 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "uid", "block", "text")
     verified = components(dealt.groupBy("root", "a", "b").applyInArrow(_verify, "u long, v long"))
-    same = wide.select("uid", "same1", "same2", "size").join(classes.select("same1", "same2", "size", "node"), ["same1", "same2", "size"])
     named = same.join(verified, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     ids = stored.select("uid", F.col("doc_id").cast("long").alias("doc_id"))
     found = materialise(named.join(ids, "uid"), "groups")
-    discard(wide, classes, members)
+    discard(wide, classes, same, by_prefix, members)
     return stored, found
 
 

@@ -128,6 +128,27 @@ def test_copies_match_brute_force(spark, monkeypatch):
     assert simhash.without_copies(df.limit(0)).count() == 0
 
 
+def test_all_kinds_of_copies_match_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    docs, common = [], words(80)
+    for k in range(60):
+        base = words(rng.choice([3, 6, 9, 14, 25, 60, 150, 400]))
+        n = len(base)
+        part, at = max(1, n * rng.choice([5, 9, 10, 14, 18, 20, 24]) // 100), rng.randrange(n)
+        docs += [base, base + words(part), base[: n - part], base[part:], base[:at] + words(part // 2) + base[at + part // 2 :], base[:at] + words(part) + base[at:]]
+        docs.append(common + words(rng.randint(10, 200)))  # a shared passage alone makes no copy
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(" ".join(d), 5).tolist()) for d in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if docs[i] == docs[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 100
+    assert {r.doc_id for r in simhash.without_copies(df).collect()} == set(groups(pairs, range(len(docs))).values())
+
+
 def test_copies_of_edge_rows(spark, edge_docs):
     kept = [r.doc_id for r in simhash.without_copies(edge_docs).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 2, 5, 6] and kept.count(None) == 1
