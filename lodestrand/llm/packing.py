@@ -1,9 +1,9 @@
 """Packing documents into sequences: best fit, then swap-based local search between underfull bins.
 
 Pieces are dealt to groups of bounded size; each group is packed alone. What its underfull bins hold
-goes on to the next level, where fewer groups pack it together, until one group is left. So the
-search sees bounded groups at any input size, and the number of underfull bins does not grow with
-the number of groups.
+goes on to the next level, where fewer groups pack it together, until one group is left. Where pieces
+do not fill bins and most would go on, only each group's emptiest bins do. So the search sees bounded
+groups at any input size, and levels end for any lengths.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ CAPACITY = 4096
 GROUP_PIECES = 8192
 #: Share of a bin that may be free when it is closed at its level.
 CLOSED_AT = 1 / 256
+#: Share of a level's pieces up to which all underfull bins go on to the next.
+GOES_ON = 3 / 4
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -145,15 +147,20 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def _group_packer(level: int, last: bool, capacity: int):
-    """Packs one group; bins that stay open go to the next level, and at the last one all close."""
+def _group_packer(level: int, last: bool, capacity: int, quota: int):
+    """Packs one group; bins that stay open go to the next level, and at the last one all close.
+
+    `emptiest` marks those of the open bins that go on where too many are open: the emptiest with
+    `quota` pieces together, and one at least.
+    """
 
     def run(key, table):
         order = pa.compute.sort_indices(table, [("length", "descending"), ("uid", "ascending")])
         table = table.take(order).drop_columns(["grp"])
         lengths = table.column("length").to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        is_open = np.zeros(len(lengths), bool)
+        is_open, emptiest = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
+        stay: list[tuple[int, list[int]]] = []
         for b, members in enumerate(pack_lengths(lengths, capacity)):
             at = 0
             for i in sorted(members):
@@ -162,7 +169,14 @@ def _group_packer(level: int, last: bool, capacity: int):
                 at += lengths[i]
             if not last and capacity - at > CLOSED_AT * capacity:
                 is_open[members] = True
-        for name, values in (("sequence_id", sequence), ("offset", offset), ("open", is_open)):
+                stay.append((at, members))
+        taken = 0
+        for _, members in sorted(stay):
+            if taken and taken + len(members) > quota:
+                break
+            emptiest[members] = True
+            taken += len(members)
+        for name, values in (("sequence_id", sequence), ("offset", offset), ("open", is_open), ("emptiest", emptiest)):
             table = table.append_column(name, pa.array(values))
         return table
 
@@ -176,7 +190,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     replaced. Equal rows stay apart. An empty table gives an empty table.
     """
     bounded_batches(pieces.sparkSession)
-    kept = [c for c in pieces.columns if c not in ("uid", "level", "sequence_id", "offset", "grp", "open")]
+    kept = [c for c in pieces.columns if c not in ("uid", "level", "sequence_id", "offset", "grp", "open", "emptiest")]
     # Ids are made once and read from the written table, so that a repeated task sees the same ones.
     left = materialise(pieces.select(*kept).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     done: list[DataFrame] = []
@@ -187,11 +201,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
-        packed = materialise(dealt.groupBy("grp").applyInArrow(_group_packer(level, last, capacity), f"{fields}, sequence_id long, offset long, open boolean"), "packed")
-        done.append(packed.filter(~F.col("open")).select(*kept, "sequence_id", "offset"))
-        if last:
+        pack_group = _group_packer(level, last, capacity, max(1, group_pieces // groups))
+        packed = materialise(dealt.groupBy("grp").applyInArrow(pack_group, f"{fields}, sequence_id long, offset long, open boolean, emptiest boolean"), "packed")
+        # Each level has at most GOES_ON of the pieces of the one before, so levels end.
+        goes_on = next((c for c in ("open", "emptiest") if not last and packed.filter(c).count() <= GOES_ON * n), None)
+        done.append((packed.filter(~F.col(goes_on)) if goes_on else packed).select(*kept, "sequence_id", "offset"))
+        if goes_on is None:
             break
-        left = packed.filter("open").select(*left.columns)
+        left = packed.filter(goes_on).select(*left.columns)
         level += 1
     if not done:
         return left.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -128,3 +128,20 @@ def test_levels_pack_as_tightly_as_one_group(spark):
     by = check_packing(rows, 1000)
     assert sorted(r.id for r in rows) == list(range(3000))
     assert len(by) <= 1.03 * len(packing.pack_lengths([r.length for r in rows], 1000)) + 1
+
+
+def test_levels_end_where_no_bin_fills(spark, monkeypatch):
+    rng, write, written = random.Random(13), packing.materialise, []
+
+    def counted(df, label):
+        written.append(label)
+        assert len(written) < 12
+        return write(df, label)
+
+    monkeypatch.setattr(packing, "materialise", counted)
+    for low, high, bins in ((510, 980, 600), (340, 360, 300)):  # one and two to a bin
+        written.clear()
+        df = spark.createDataFrame([(i, rng.randint(low, high)) for i in range(600)], "id long, length long")
+        rows = packing.pack(df, 1000, group_pieces=100).collect()
+        assert sorted(r.id for r in rows) == list(range(600))
+        assert len(check_packing(rows, 1000)) == bins
