@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,73 +75,126 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The move or swap that adds most to `take`, whose free space is `room`: (given, got back)."""
-    best, found = 0, None
-    own = sorted({lengths[i]: i for i in give}.items())
-    theirs = sorted({lengths[j]: j for j in take}.items())
-    for x, i in own:
-        if best < x <= room:
-            best, found = x, ([i], [])
-        for y, j in theirs:
-            if best < x - y <= room:
-                best, found = x - y, ([i], [j])
-    if best == room:
-        return found
-    for a, i in enumerate(give[:64]):
-        for i2 in give[a + 1 : 64]:
-            x = lengths[i] + lengths[i2]
-            if best < x <= room:
-                best, found = x, ([i, i2], [])
-            for y, j in theirs:
-                if best < x - y <= room:
-                    best, found = x - y, ([i, i2], [j])
-    for a, j in enumerate(take[:64]):
-        for j2 in take[a + 1 : 64]:
-            y = lengths[j] + lengths[j2]
-            for x, i in own:
-                if best < x - y <= room:
-                    best, found = x - y, ([i], [j, j2])
-    return found
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = 20_000) -> list[list[int]]:
-    """Move pieces, one for one, two for one or alone, from the emptiest bin to other underfull bins.
+class _Underfull:
+    """Bins with what each could give back in a swap: nothing, a piece or two, as arrays over all bins.
+
+    What a changed bin had is struck out, and what it has is written at the end.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths = bins, lengths
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.capacity, self.clock = capacity, 0
+        self.changed = np.zeros(len(bins), np.int64)
+        self.owner, self.back, self.pair = (np.zeros(0, t) for t in (np.int64, np.int64, bool))
+        self.rows: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bins)
+        self.used = 0
+        for k in range(len(bins)):
+            self._write(k)
+
+    def values(self, k: int) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+        """(singles, pairs): the lengths of a bin's pieces and pairs of pieces, each with the lengths it is made of."""
+        counts = Counter(self.lengths[i] for i in self.bins[k])
+        own = sorted(counts)
+        pairs = {x + y: (x, y) for n, x in enumerate(own) for y in own[n:] if x != y or counts[x] > 1}
+        return {x: (x,) for x in own}, pairs
+
+    def _write(self, k: int) -> None:
+        self.owner[self.rows[k]] = -1
+        self.rows[k] = np.zeros(0, np.int64)
+        if not self.bins[k] or self.fill[k] >= self.capacity:
+            return
+        singles, pairs = self.values(k)
+        back = [0, *singles, *pairs]
+        if self.used + len(back) > len(self.owner):
+            live = np.flatnonzero(self.owner[: self.used] >= 0)
+            place = np.cumsum(self.owner[: self.used] >= 0) - 1
+            self.rows = [place[r] for r in self.rows]
+            size = 2 * (len(live) + len(back)) + 1024
+            for name in ("owner", "back", "pair"):
+                old = getattr(self, name)
+                new = np.full(size, -1, old.dtype) if name == "owner" else np.zeros(size, old.dtype)
+                new[: len(live)] = old[live]
+                setattr(self, name, new)
+            self.used = len(live)
+        at = np.arange(self.used, self.used + len(back))
+        self.owner[at], self.back[at], self.pair[at] = k, back, at > self.used + len(singles)
+        self.rows[k] = at
+        self.used += len(back)
+
+    def step(self, source: int, since: int) -> bool:
+        """Make the exchange with a bin changed after `since` that adds most to the squared fills, if one adds."""
+        target = (self.changed > since) & (self.fill >= self.fill[source]) & (self.fill < self.capacity)
+        target[source] = False
+        owner = self.owner[: self.used]
+        # Where an entry is struck out, -1 reads the last one, so it must be no target.
+        rows = np.flatnonzero(np.append(target, False)[owner])
+        if not len(rows):
+            return False
+        singles, pairs = self.values(source)
+        one, any_of = np.array(sorted(singles)), np.array(sorted({**pairs, **singles}))
+        owner, back, pair = owner[rows], self.back[rows], self.pair[rows]
+        most = back + self.capacity - self.fill[owner]
+        # The largest that fits; a pair is given back for one piece only.
+        give = np.where(pair, np.append(one, 0)[np.searchsorted(one, most, "right") - 1], np.append(any_of, 0)[np.searchsorted(any_of, most, "right") - 1])
+        gain = give - back
+        gain[gain < 0] = 0
+        adds = gain * (self.fill[owner] - self.fill[source] + gain)
+        best = int(adds.argmax())
+        if adds[best] <= 0:
+            return False
+        k, value = int(owner[best]), int(give[best])
+        given = singles.get(value) or pairs[value]
+        theirs, their_pairs = self.values(k)
+        y = int(back[best])
+        got = () if not y else their_pairs[y] if pair[best] else theirs[y]
+        self._move(source, k, given)
+        self._move(k, source, got)
+        self.fill[source] -= gain[best]
+        self.fill[k] += gain[best]
+        self.clock += 1
+        self.changed[[source, k]] = self.clock
+        self._write(source)
+        self._write(k)
+        return True
+
+    def _move(self, a: int, b: int, wanted: tuple[int, ...]) -> None:
+        for length in wanted:
+            i = next(i for i in self.bins[a] if self.lengths[i] == length)
+            self.bins[a].remove(i)
+            self.bins[b].append(i)
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Move pieces, one for one, two for one, one for two or alone, from emptier to fuller underfull bins.
 
     Each step adds to a bin that is at least as full as the one it takes from, so the sum of squared
-    fills grows and the search ends; a bin that loses its last piece is dropped. `steps` bounds the
-    work of a group, not what it packs: bins stay valid whenever it stops.
+    fills grows and the search ends: when no exchange is left that adds to it, or the bins are as few
+    as the pieces' sum needs. A bin that loses its last piece is dropped. A bin that found no exchange
+    is tried again with the bins that have changed since.
     """
-    total, least = sum(lengths), 0
-    least = math.ceil(total / capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = sum(bool(b) for b in bins)
-    under = [k for k in range(len(bins)) if fill[k] < capacity]
-    stuck: set[int] = set()
-    while alive > least and steps > 0:
-        source = min((k for k in under if bins[k] and k not in stuck), key=lambda k: (fill[k], k), default=None)
-        if source is None:
-            break
+    least = math.ceil(sum(lengths) / capacity)
+    bins = [list(b) for b in bins if b]
+    if len(bins) <= least:
+        return bins
+    full = [b for b in bins if sum(lengths[i] for i in b) >= capacity]
+    bins = [b for b in bins if sum(lengths[i] for i in b) < capacity]
+    state = _Underfull(bins, lengths, capacity)
+    alive = len(full) + len(bins)
+    tried = np.full(len(bins), -1, np.int64)
+    moved = True
+    while moved and alive > least:
         moved = False
-        for k in sorted((k for k in under if k != source and bins[k] and fill[source] <= fill[k] < capacity), key=lambda k: (-fill[k], k)):
-            steps -= 1
-            found = _exchange(bins[source], bins[k], lengths, capacity - fill[k])
-            if found:
-                given, back = found
-                gain = sum(lengths[i] for i in given) - sum(lengths[j] for j in back)
-                bins[source] = [i for i in bins[source] if i not in given] + back
-                bins[k] = [j for j in bins[k] if j not in back] + given
-                fill[source] -= gain
-                fill[k] += gain
-                moved = True
-                if not bins[source]:
-                    alive -= 1
+        for source in np.argsort(state.fill, kind="stable").tolist():
+            while bins[source] and state.fill[source] < capacity and alive > least:
+                # What has itself changed since is tried with all.
+                since = int(tried[source]) if state.changed[source] <= tried[source] else -1
+                if not state.step(source, since):
+                    tried[source] = state.clock
                     break
-            if steps <= 0:
-                break
-        if not moved:
-            stuck.add(source)
-    return [b for b in bins if b]
+                moved = True
+                alive -= not bins[source]
+    return full + [b for b in bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
