@@ -2,7 +2,7 @@
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each distinct value is a protected
 entity. How strongly a term reveals it is estimated from the corpus: with p(t|e) the share of the
-value's distinct contexts that hold the term and p(t) the share of all documents that do, the
+value's documents (one for each distinct passage) that hold the term and p(t) the share of all that do, the
 pointwise mutual information log2 p(t|e) / p(t), over the value's own information log2 1 / p(e), is the
 share of the value that the term discloses. Terms above a threshold are generalised to a
 class of words, and above a higher one removed. Only DataFrame operations are used.
@@ -10,6 +10,7 @@ class of words, and above a higher one removed. Only DataFrame operations are us
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,14 +32,12 @@ _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.|$)){4}$"
 #: A text without these can hold no match of the kind.
 _NEEDS = {"email": r"@", "phone": r"\+"}
 
-#: Characters to each side of a value that are its context; contexts and co-occurrences needed for an
-#: estimate; share of the contexts that a term must be in; shares disclosed from which a term is
-#: generalised or removed.
+#: Characters to each side of a value by which passages are the same; share of the passages that a term must
+#: be with; chance, for each value, that any term of the vocabulary would be with it as often; shares disclosed
+#: from which a term is generalised or removed.
 CONTEXT_CHARS = 100
-LEAST_CONTEXTS, LEAST_TOGETHER, LEAST_SHARE = 3, 3, 0.5
+LEAST_SHARE, CHANCE = 0.5, 0.01
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8
-#: Candidate terms up to which they are broadcast to the count over the corpus (about 5 MB).
-BROADCAST_TERMS = 50_000
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
@@ -115,46 +114,56 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: w != "")
 
 
+def _free_words(text: Column) -> Column:
+    """The words of a text outside its addresses; no other pattern holds letters."""
+    return _words(F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text))
+
+
+def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(th, text): each text once, with its hash; only texts that may be repeated are moved."""
+    hashed = corpus.select(F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
+    repeated = materialise(hashed.groupBy("th").agg(F.count("*").alias("n")).filter("n > 1").select("th"), "repeated-texts")
+    marked = likely(hashed, "th", repeated)
+    return marked.filter("NOT likely").select("th", "text").unionByName(marked.filter("likely").select("th", "text").dropDuplicates(["th"]))
+
+
 def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
     """(value, terms): for each entity its disclosive terms, each (term, removed).
 
-    found: rows with `spans` and, where there are any, `text`; corpus: all texts. A context counts once
-    however many documents repeat it, so copies of one passage prove nothing. A term is in at least half of an entity's contexts, so an entity has a bounded
-    number of them.
+    found: rows with `spans` and, where there are any, `text`; corpus: all texts. Terms count wherever in
+    a text they are, and equal texts count once. So do texts that repeat one passage around a value, of which
+    each has a part of one: copies of one passage prove nothing. However few texts a value has, its
+    terms are weighed; one counts only if chance would not bring any of the vocabulary together with
+    the value as often (Chernoff's bound, times the number of terms, at most CHANCE).
     """
-    spark = corpus.sparkSession
-    seen = found.filter(F.size("spans") > 0).select("uid", "text", F.explode("spans").alias("s"))
+    counted = distinct_texts(corpus, text).select(F.explode(_free_words(F.col("text"))).alias("term"))
+    counted = materialise(counted.groupBy("term").agg(F.count("*").alias("df")), "vocabulary")
+    total = float(corpus.select(F.xxhash64(F.col(f"`{text}`")).alias("th")).distinct().count())
+    needed = math.log(max(1, counted.count()) / CHANCE)
+    spanned = found.filter(F.size("spans") > 0).withColumn("th", F.xxhash64("text"))
+    seen = spanned.select("th", "text", F.explode("spans").alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(CONTEXT_CHARS)).cast("int"))
     right = F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT_CHARS))
-    # A word that the window cuts is no word.
-    cut = F.col("s.start") > CONTEXT_CHARS
-    left = F.when(cut, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.char_length(right) == CONTEXT_CHARS, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    context = F.concat(left, F.lit(" \u0000 "), right)
-    seen = seen.select("uid", F.col("s.value").alias("value"), context.alias("context"))
-    seen = seen.withColumn("ctx", F.xxhash64("context"))
-    held = seen.select("value", "uid").distinct().groupBy("value").agg(F.count("*").alias("docs_e"))
-    contexts = seen.dropDuplicates(["value", "ctx"]).select("value", "ctx", "context")
-    known = contexts.groupBy("value").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= LEAST_CONTEXTS)
-    together = contexts.join(known, "value").select("value", "n_e", F.explode(_words(F.col("context"))).alias("term"))
-    together = together.groupBy("value", "n_e", "term").agg(F.count("*").alias("n_te"))
-    together = together.filter((F.col("n_te") >= LEAST_TOGETHER) & (F.col("n_te") >= LEAST_SHARE * F.col("n_e")))
-    together = materialise(together.join(held, "value"), "term-candidates")
-    terms = together.select("term").distinct()
-    everything = F.col(f"`{text}`")
-    words = corpus.select(F.explode(_words(everything)).alias("term"))
-    if (n := terms.limit(BROADCAST_TERMS + 1).count()) <= BROADCAST_TERMS:
-        counted = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-        if n == 0:
-            counted = spark.createDataFrame([], "term string, df long")
-    else:
-        counted = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
-    joined = together.join(counted, "term")
-    total = F.lit(float(corpus.count()))
-    reveals = F.log2(F.col("n_te") / F.col("n_e") * total / F.col("df"))
+    context = F.xxhash64(F.concat(left, F.lit(" \u0000 "), right))
+    seen = seen.select("th", F.col("s.value").alias("value"), context.alias("ctx")).distinct()
+    alike = seen.groupBy("value", "ctx").agg(F.count("*").alias("m"))
+    parts = seen.join(alike, ["value", "ctx"]).groupBy("value", "th").agg((1.0 / F.max("m")).alias("part"))
+    parts = materialise(parts, "passages")
+    known = parts.groupBy("value").agg(F.sum("part").alias("n_e"), F.count("*").alias("docs_e"))
+    # A term in all of a value's texts and in no other would count for no less, so the rest need not be looked at.
+    known = known.filter(F.col("n_e") * math.log(max(1.0, total)) >= needed - 1e-6)
+    wanted = materialise(parts.join(known, "value"), "entities")
+    texts = likely(spanned.select("th", "text"), "th", wanted.select("th")).filter("likely").select("th", "text").dropDuplicates(["th"])
+    together = wanted.join(texts.select("th", _free_words(F.col("text")).alias("words")), "th")
+    together = together.select("value", "n_e", "docs_e", "part", F.explode("words").alias("term"))
+    together = together.groupBy("value", "n_e", "docs_e", "term").agg(F.least(F.sum("part"), F.col("n_e")).alias("n_te"))
+    joined = together.filter(F.col("n_te") >= LEAST_SHARE * F.col("n_e") - 1e-6).join(counted, "term")
+    among, overall = F.col("n_te") / F.col("n_e"), F.col("df") / total
+    apart = F.when(among < 1 - 1e-6, (1 - among) * F.log((1 - among) / (1 - overall))).otherwise(0.0)
+    surprise = F.when(among > overall, F.col("n_e") * (among * F.log(among / overall) + apart)).otherwise(0.0)
     own = F.log2(total / F.col("docs_e"))
-    share = F.when(own > 0, reveals / own).otherwise(0.0)
-    flagged = joined.withColumn("share", share).filter(F.col("share") >= GENERALISE_FROM)
+    share = F.when(own > 0, F.log2(among / overall) / own).otherwise(0.0)
+    flagged = joined.filter(surprise >= needed - 1e-6).withColumn("share", share).filter(F.col("share") >= GENERALISE_FROM)
     term = F.struct("term", (F.col("share") >= REMOVE_FROM).alias("removed"))
     return flagged.groupBy("value").agg(F.sort_array(F.collect_set(term)).alias("terms"))
 

@@ -80,6 +80,27 @@ def test_disclosive_terms_are_found_and_replaced(spark):
     assert by[5].cleaned == dict(rows)[5]
 
 
+def test_rare_values_and_distant_terms_are_weighed(spark):
+    rng = random.Random(15)
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+    def words(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+
+    rows = [(i, words(60)) for i in range(1000)]
+    rows += [(2000 + i, f"{words(30)} Brackenmoor {words(40)} mail b@rack.example {words(30)}") for i in range(2)]  # two texts, far apart
+    rows += [(3000 + i, f"Larkspindle {words(60)} mail l@ark.example") for i in range(5)]  # heading against footer
+    rows += [(4000, f"{words(30)} Onlyonce mail o@nce.example {words(30)}")]  # one text: any of its words might be the one
+    passage = f"{words(20)} mail p@ass.example {words(20)}"
+    rows += [(5000 + i, f"{words(30)} Oldpassage {passage} {words(30)}") for i in range(4)]  # one passage in four texts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in sanitise.clean(sanitise.find(df, keep=df.columns)).collect()}
+    for ids, name in ((range(2000, 2002), "Brackenmoor"), (range(3000, 3005), "Larkspindle")):
+        assert all(name not in by[i].cleaned for i in ids)
+    assert "Onlyonce" in by[4000].cleaned and all("Oldpassage" in by[i].cleaned for i in range(5000, 5004))
+    assert not any(x.value.startswith("filler") for r in by.values() for x in r.more)
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = sanitise.report(sanitise.find(edge_docs)).collect()
     assert len(rows) == edge_docs.count()
