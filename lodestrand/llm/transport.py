@@ -277,14 +277,15 @@ def _unit(pid: int, data: bytes, access: bool, packet: int) -> Unit | None:
 
 
 def describe(stream: Stream) -> str:
-    """The features of a stream in one line."""
+    """The features of a stream in one line; `marks` is a digest of all units' time stamps, packets and access."""
     times = [u.pts for u in stream.units if u.pts is not None]
     access = [u.pts for u in stream.units if u.random_access]
+    marks = hashlib.sha256(repr([(u.pts, u.packet, u.random_access) for u in stream.units]).encode()).hexdigest()
     streams = ",".join(f"{p:#06x}:{kind:#04x}" for p, kind in sorted(stream.streams.items()))
     return (
         f"packets={stream.packets};programs={len(stream.programs)};streams={streams};units={len(stream.units)};"
         f"gaps={stream.gaps};repeats={stream.repeats};bad_sections={stream.bad_sections};broken_units={stream.broken_units};"
-        f"pts={times[0] if times else ''}-{times[-1] if times else ''};access={len(access)}:{','.join(map(str, access[:8]))}"
+        f"pts={times[0] if times else ''}-{times[-1] if times else ''};access={len(access)}:{','.join(map(str, access))};marks={marks}"
     )
 
 

@@ -60,3 +60,13 @@ def test_table(spark, edge_docs, no_docs):
     assert ts.round_trip(no_docs).count() == 0
     index = ts.units(ts.store(edge_docs)).collect()
     assert sum(r.n_bytes for r in index) == sum(w[2] for w in want) and any(r.random_access for r in index)
+
+
+def test_features_tell_later_access_points_and_times_apart():
+    media = ts.multiplex(bytes(4096 * 8 * 12))
+    line = ts.describe(ts.demultiplex(media))
+    for field, value in (("pts", 5), ("packet", 7), ("random_access", False)):
+        changed = ts.demultiplex(media)
+        setattr(changed.units[80], field, value)
+        assert changed.units[80].random_access or field == "random_access"
+        assert ts.describe(changed) != line
