@@ -37,18 +37,18 @@ def _byte_alphabet() -> dict[int, str]:
 class WordCachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as encode(add_special_tokens=False) does.
 
-    Special tokens that are spelled out in a text count as ordinary text.
+    A special token that is spelled out in a text gets its own id, as the library has it.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.alphabet = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind, self.pattern = self._family(spec)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -56,8 +56,8 @@ class WordCachedEncoder:
     @staticmethod
     def _family(spec: dict) -> tuple[str, object]:
         pre = spec.get("pre_tokenizer") or {}
-        ordinary = [t for t in spec.get("added_tokens", []) if not t.get("special")]
-        if ordinary:
+        # Only tokens that are found in the text as it stands can be looked for in it.
+        if any(t.get("normalized") or not t.get("special") for t in spec.get("added_tokens", [])):
             return "whole", None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             return "bytes", _BYTE_LEVEL
@@ -101,7 +101,7 @@ class WordCachedEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.kind == "whole" or _ODD_BLANK.search(text):
+        if self.kind == "whole" or _ODD_BLANK.search(text) or any(t in text for t in self.special):
             return self._whole(text)
         if self.kind == "words":
             # White space only separates here, so every blank is a safe place to cut.
