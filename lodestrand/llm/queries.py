@@ -22,7 +22,7 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return resample.reject(resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

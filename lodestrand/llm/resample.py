@@ -1,12 +1,14 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Words and word pairs are hashed into buckets. The target model counts a bounded sample of labelled good
-documents, the raw model counts every document; their shrunk log-ratio is the evidence of an n-gram.
-A document's evidence is read in two ways: its mean, which shows text that is unlike the target
-throughout, and the sum of clearly negative words over the root of the length, which shows a few words
-that the target never has. Both are put on the scale of held-out good documents; the smaller is the log
-importance weight. Gumbel noise, seeded by the document, turns the k largest keys into a sample without
-replacement; k, unless given, is the number of documents whose weight is within that of good ones.
+documents, the raw model counts every document. A document's log importance weight is
+log p_target - log p_raw under these models, read as one passage of at most PASSAGE words, so that long
+texts do not win or lose by their length alone. Gumbel noise of scale 1, seeded by the document, turns the k
+largest keys into a sample without replacement, in which chances are as the weights. k, unless given, is
+the number of documents whose weight is within that of good ones.
+
+A few words that the target never has hardly change the weight of a long passage. They are read apart
+(`out_of_target`), and `reject` drops what has them; it is no part of the sampling.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 LABELLED_ROWS = 40_000
 #: Share of them that is held out to put weights on a scale.
 HELD_OUT = 0.3
-#: Prior count; log-ratio beyond which a word counts as clearly negative.
-PRIOR, CLEARLY = 1.0, 0.7
-#: Quantile of held-out good documents at which a weight is 0; steepness in units of Gumbel noise.
-EDGE, STEEP = 0.002, 20.0
+#: Prior count of a bucket in the models; words of the passage as which a document is weighed.
+PRIOR, PASSAGE = 5.0, 64
+#: Prior count for words that the target may never have, and the log-ratio beyond which a word is one.
+RARE_PRIOR, CLEARLY = 1.0, 0.7
+#: Quantile of held-out good documents that bounds what is within good ones.
+EDGE = 0.002
 #: Keys that are sorted on the driver at most, in the last step of the selection.
 LAST_KEYS = 10_000
 
@@ -93,8 +97,8 @@ def labelled(labels: DataFrame, most: int = LABELLED_ROWS) -> DataFrame:
     return one.filter(drawn < int(share * (1 << 20)) + (share == 1.0)).select("doc_id", "good", held.alias("held_out"))
 
 
-def fit(texts: DataFrame) -> np.ndarray:
-    """The log-ratio of each bucket, from rows of (text, good): every text is raw, good ones are target."""
+def count(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket over all texts and over good ones, from rows of (text, good)."""
     bounded_batches(texts.sparkSession)
     rows = texts.select("text", "good").mapInArrow(_count, "bucket long, raw long, target long")
     total = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -102,21 +106,27 @@ def fit(texts: DataFrame) -> np.ndarray:
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
+    return raw, target
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, prior: float) -> np.ndarray:
+    """log p_target - log p_raw of each bucket, apart for words and for pairs; `prior` keeps rare ones near 0."""
     ratio = np.zeros(BUCKETS, np.float32)
     for part in (slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, BUCKETS)):
         share = target[part].sum() / max(raw[part].sum(), 1.0)
-        ratio[part] = np.log((target[part] + PRIOR) / (raw[part] * share + PRIOR))
+        ratio[part] = np.log((target[part] + prior) / (raw[part] * share + prior))
     return ratio
 
 
-def evidence(text: str, ratio: np.ndarray) -> tuple[float, float]:
-    """(mean log-ratio, sum of clearly negative words over the root of the length); wordless: zeros."""
+def weigh(text: str, ratio: np.ndarray, rare: np.ndarray) -> tuple[float, float]:
+    """(log weight, evidence of words that the target never has: the sum of their log-ratios over the root
+    of the length); wordless: zeros."""
     words, pairs = buckets(text)
     if not len(words):
         return 0.0, 0.0
-    own = ratio[words]
-    mean = (float(own.sum(dtype=np.float64)) + float(ratio[pairs].sum(dtype=np.float64))) / len(words)
-    return mean, float(np.minimum(own + CLEARLY, 0).sum(dtype=np.float64)) / len(words) ** 0.5
+    total = float(ratio[words].sum(dtype=np.float64)) + float(ratio[pairs].sum(dtype=np.float64))
+    weight = total * min(1.0, PASSAGE / len(words))
+    return weight, float(np.minimum(rare[words] + CLEARLY, 0).sum(dtype=np.float64)) / len(words) ** 0.5
 
 
 def _gumbel(seed: int, *columns: str) -> Column:
@@ -148,10 +158,11 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11, keep: Sequence[str] = (), labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """The sampled documents: doc_id, log_weight, key (and `kept`, the columns named in `keep`).
+    """The sampled documents: doc_id, log_weight, key, out_of_target (and `kept`, the columns named in `keep`).
 
-    Null texts are empty; wordless documents have neutral evidence. Equal rows have equal keys; those
-    that tie with the k-th are all in the sample. Without good labels nothing is known and all
+    out_of_target is negative for a document whose evidence of words that the target never has is beyond that
+    of held-out good ones. Null texts are empty; wordless documents have weight 0. Equal rows have equal
+    keys; those that tie with the k-th are all in the sample. Without good labels nothing is known and all
     documents are kept with weight 0.
     """
     spark = docs.sparkSession
@@ -166,33 +177,35 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     # LABELLED_ROWS bounds what is broadcast.
     judged = named.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
     good = F.coalesce(F.col("good") & ~F.col("held_out"), F.lit(False))
-    ratio = spark.sparkContext.broadcast(fit(judged.select("text", good.alias("good"))))
+    counts = count(judged.select("text", good.alias("good")))
+    ratios = spark.sparkContext.broadcast((log_ratio(*counts, PRIOR), log_ratio(*counts, RARE_PRIOR)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.array([evidence(t, ratio.value) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, 2)
+            both = np.array([weigh(t, *ratios.value) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, 2)
             columns = [batch.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            names = ["doc_id", "mean", "negative"]
+            names = ["doc_id", "log_weight", "rare"]
             if "kept" in batch.schema.names:
                 columns.append(batch.column("kept"))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kept = [f for f in named.schema.fields if f.name == "kept"]
-    schema = "doc_id long, mean double, negative double" + "".join(f", kept {f.dataType.simpleString()}" for f in kept)
-    scored = materialise(named.mapInArrow(score, schema), "evidence")
-    scale = scored.select("doc_id", "mean", "negative").join(F.broadcast(known.filter("good AND held_out")), "doc_id").select("mean", "negative").toArrow()
+    schema = "doc_id long, log_weight double, rare double" + "".join(f", kept {f.dataType.simpleString()}" for f in kept)
+    scored = materialise(named.mapInArrow(score, schema), "weights")
+    scale = scored.select("doc_id", "log_weight", "rare").join(F.broadcast(known.filter("good AND held_out")), "doc_id").select("log_weight", "rare").toArrow()
     names = ["kept"] if kept else []
     if not scale.num_rows:
-        return scored.select("doc_id", F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"), *names)
-    weight = []
-    for name in ("mean", "negative"):
-        values = scale.column(name).to_numpy()
-        edge, middle = np.quantile(values, EDGE), np.quantile(values, 0.5)
-        weight.append((F.col(name) - float(edge)) / float(max(middle - edge, 1e-9)))
-    weighed = scored.withColumn("log_weight", STEEP * F.least(*weight))
-    weighed = weighed.withColumn("key", F.col("log_weight") + _gumbel(seed, "doc_id", "mean"))
-    wanted = weighed.filter("log_weight >= 0").count() if k is None else k
+        return scored.select("doc_id", *[F.lit(0.0).alias(c) for c in ("log_weight", "key", "out_of_target")], *names)
+    least, rarest = (float(np.quantile(scale.column(c).to_numpy(), EDGE)) for c in ("log_weight", "rare"))
+    weighed = scored.withColumn("out_of_target", F.col("rare") - rarest)
+    weighed = weighed.withColumn("key", F.col("log_weight") + _gumbel(seed, "doc_id", "log_weight"))
+    wanted = weighed.filter(F.col("log_weight") >= least).count() if k is None else k
     threshold = kth_largest(weighed, "key", wanted)
     chosen = weighed.filter(F.col("key") >= threshold) if threshold is not None else weighed.limit(0)
-    return chosen.select("doc_id", "log_weight", "key", *names)
+    return chosen.select("doc_id", "log_weight", "key", "out_of_target", *names)
+
+
+def reject(sampled: DataFrame) -> DataFrame:
+    """The sampled documents without those that have words which the target never has."""
+    return sampled.filter("out_of_target >= 0")
