@@ -15,9 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling towards labelled good text selects."""
+    """The documents that importance resampling towards labelled good text draws, without words that such text never has."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample.resample(docs, labels, keep=docs.columns).select("kept.*")
+    return resample.reject(resample.resample(docs, labels, keep=docs.columns)).select("kept.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
