@@ -46,7 +46,7 @@ def op7_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.segments(_table(spark, sf_dir, "conversations"))
+    return preference.report(preference.pairs(preference.segments(_table(spark, sf_dir, "conversations"))))
 
 
 def op9_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
