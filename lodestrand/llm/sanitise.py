@@ -1,7 +1,8 @@
 """Personal data: patterns, and terms that give protected values away (information-theoretic).
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each distinct value is a protected
-entity. How strongly a term reveals it is estimated from the corpus: with p(t|e) the share of the
+entity, and so is the part of it that names whom it belongs to with others (the domain, network, issuer or
+exchange): most values are in one text only, and a name beside addresses of one domain gives that away. How strongly a term reveals it is estimated from the corpus: with p(t|e) the share of the
 value's documents (one for each distinct passage) that hold the term and p(t) the share of all that do, the
 pointwise mutual information log2 p(t|e) / p(t), over the value's own information log2 1 / p(e), is the
 share of the value that the term discloses. Terms above a threshold are generalised to a
@@ -38,6 +39,8 @@ _NEEDS = {"email": r"@", "phone": r"\+"}
 CONTEXT_CHARS = 100
 LEAST_SHARE, CHANCE = 0.5, 0.01
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8
+#: Share of the texts from which an entity is frequent; so few are that they are broadcast.
+FREQUENT = 1e-4
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
@@ -72,6 +75,22 @@ def _value(kind: str, match: Column) -> Column:
     return _digits(match) if kind in ("card", "phone") else F.lower(match)
 
 
+def _entities(spans: Column) -> Column:
+    """The distinct entities of a text's base spans: each value, and the class that it belongs to."""
+
+    def both(s: Column) -> Column:
+        value = F.substring(s["value"], F.char_length(s["kind"]) + 2, F.char_length(s["value"]))
+        shared = (
+            F.when(s["kind"] == "email", F.substring_index(value, "@", -1))
+            .when(s["kind"] == "ip", F.substring_index(value, ".", 3))
+            .when(s["kind"] == "card", F.substring(value, 1, 6))
+            .otherwise(F.substring(value, F.lit(1), F.char_length(value) - 7))
+        )
+        return F.array(s["value"], F.concat(F.lit("class of "), s["kind"], F.lit(":"), shared))
+
+    return F.array_distinct(F.flatten(F.transform(spans, both)))
+
+
 def _located(kind: Column, found: Column, between: Column) -> Column:
     """Spans (code points, end exclusive) of matches, from the texts between them."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
@@ -141,7 +160,9 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
     total = float(corpus.select(F.xxhash64(F.col(f"`{text}`")).alias("th")).distinct().count())
     needed = math.log(max(1, counted.count()) / CHANCE)
     spanned = found.filter(F.size("spans") > 0).withColumn("th", F.xxhash64("text"))
-    seen = spanned.select("th", "text", F.explode("spans").alias("s"))
+    # A class is seen wherever one of its values is.
+    named = F.explode(F.flatten(F.transform("spans", lambda s: F.transform(_entities(F.array(s)), lambda e: F.struct(s["start"].alias("start"), s["end"].alias("end"), e.alias("value"))))))
+    seen = spanned.select("th", "text", named.alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(CONTEXT_CHARS)).cast("int"))
     right = F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT_CHARS))
     context = F.xxhash64(F.concat(left, F.lit(" \u0000 "), right))
@@ -151,8 +172,11 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
     parts = materialise(parts, "passages")
     known = parts.groupBy("value").agg(F.sum("part").alias("n_e"), F.count("*").alias("docs_e"))
     # A term in all of a value's texts and in no other would count for no less, so the rest need not be looked at.
-    known = known.filter(F.col("n_e") * math.log(max(1.0, total)) >= needed - 1e-6)
-    wanted = materialise(parts.join(known, "value"), "entities")
+    known = materialise(known.filter(F.col("n_e") * math.log(max(1.0, total)) >= needed - 1e-6), "known-entities")
+    # A frequent entity's texts stay where they are: of such entities there are 1 / FREQUENT for each of a text's at most.
+    often = F.col("docs_e") > FREQUENT * total
+    wanted = parts.join(F.broadcast(known.filter(often)), "value").unionByName(parts.join(known.filter(~often), "value"))
+    wanted = materialise(wanted, "entities")
     texts = likely(spanned.select("th", "text"), "th", wanted.select("th")).filter("likely").select("th", "text").dropDuplicates(["th"])
     together = wanted.join(texts.select("th", _free_words(F.col("text")).alias("words")), "th")
     together = together.select("value", "n_e", "docs_e", "part", F.explode("words").alias("term"))
@@ -185,7 +209,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     found = materialise(found, "base-spans")
     terms = materialise(disclosive_terms(found, named), "disclosive-terms")
     # One row for each entity that a document holds; what the document must lose is the union.
-    holds = found.filter(F.size("spans") > 0).select("uid", F.explode(F.array_distinct(F.col("spans.value"))).alias("value"))
+    holds = found.filter(F.size("spans") > 0).select("uid", F.explode(_entities(F.col("spans"))).alias("value"))
     lost = holds.join(terms, "value").groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
     lost = materialise(lost, "lost-terms")
     # Few documents lose a term; the others are not moved to learn that.

@@ -101,6 +101,26 @@ def test_rare_values_and_distant_terms_are_weighed(spark):
     assert not any(x.value.startswith("filler") for r in by.values() for x in r.more)
 
 
+def test_a_name_beside_the_addresses_of_one_domain_gives_it_away(spark):
+    rng = random.Random(25)
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+
+    def words(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+
+    rows = [(i, words(60)) for i in range(1500)]
+    firms = [f"Firm{chr(97 + i)}{chr(107 + i)}" for i in range(12)]
+    for i, firm in enumerate(firms):  # every address is in one text only
+        rows += [(2000 + 10 * i + j, f"{words(20)} {firm if j else ''} {words(20)} write to p{j}.{i}@host{i}.example {words(20)}") for j in range(5)]
+    rows += [(3000 + i, f"{words(40)} someone{i}@common.example {words(20)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in sanitise.find(df, keep=df.columns).collect()}
+    told = {d: {x.value for x in r.more} for d, r in found.items()}
+    caught = sum(firm in told[2000 + 10 * i + j] for i, firm in enumerate(firms) for j in range(1, 5))
+    assert caught >= 0.9 * 4 * len(firms)
+    assert not any(x.startswith("filler") for t in told.values() for x in t) and not any(told[3000 + i] for i in range(200))
+
+
 def test_edges(spark, edge_docs, no_docs):
     rows = sanitise.report(sanitise.find(edge_docs)).collect()
     assert len(rows) == edge_docs.count()
