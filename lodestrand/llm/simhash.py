@@ -251,6 +251,8 @@ COPY_WORDS, SIMILARITY = 5, 0.8
 INDEXED_WORDS, SEGMENT_BITS, SKETCH_DISTANCE = 4, 32, 16
 #: Members and bytes of a block in which shingles are compared.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Tasks that the members of a large group are spread over where they meet its size.
+SALTS = 64
 
 WIDE = pa.schema([("uid", pa.int64()), ("same1", pa.int64()), ("same2", pa.int64()), ("size", pa.int64()), *[(f"f{i}", pa.int64()) for i in range(INDEXED_WORDS + 1)]])
 
@@ -410,8 +412,10 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialise(members.select("root", "uid", "text"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
     count = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
-    sizes = sizes.select("root", count.alias("blocks"))
-    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    # Only large groups are cut. Their numbers of blocks go to all salts, so that no group's members meet in one task.
+    sizes = sizes.select("root", count.alias("blocks")).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(sizes, ["root", "salt"], "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "uid", "block", "text")
     verified = components(dealt.groupBy("root", "a", "b").applyInArrow(_verify, "u long, v long"))
@@ -431,9 +435,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
         docs = docs.drop("uid")
     stored, groups = copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
-    kept = groups.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = groups.join(kept.select("root", F.col("first.uid").alias("kept")), "root").filter("uid <> kept").select("uid")
-    gone = materialise(gone, "copies")
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.uid").alias("uid"))
+    # By uid, so that no group's members meet in one task.
+    gone = materialise(groups.select("uid").join(kept, "uid", "left_anti"), "copies")
     # Most rows stay: only those that may go are moved to learn whether they do.
     marked = likely(stored, "uid", gone)
     sure = marked.filter("NOT likely").select(*docs.columns)
