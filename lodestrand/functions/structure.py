@@ -104,3 +104,23 @@ def is_local_address(host: Column) -> Column:
     )
     six = host.rlike(r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*)$") & host.rlike(r"^[0-9a-f:]+$")
     return host.isin("", "localhost") | (four & private) | six
+
+
+def argument_tokens(rows: DataFrame, keys: list[str], arguments: str) -> DataFrame:
+    """(keys, token): the distinct structural tokens of the string leaves of a call's arguments (JSON text)."""
+    leaves = string_leaves(rows, keys, arguments)
+    return leaves.select(*keys, F.explode(split_string(F.col("leaf"))).alias("token")).distinct()
+
+
+def body_values(rows: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """(keys, leaf): the string leaves of a body that is JSON, else its values as a form. Empty bodies have none."""
+    held = rows.filter(F.coalesce(F.col(body), F.lit("")) != "")
+    form = held.filter(F.try_parse_json(F.col(body)).isNull()).select(*keys, F.explode(query_values(F.col(body))).alias("leaf"))
+    return string_leaves(held, keys, body).unionByName(form)
+
+
+def tokens_of_request(rows: DataFrame, keys: list[str], host: str, target: str, body: str) -> DataFrame:
+    """(keys, tokens): the sorted tokens of each request, those of its body among them. keys name one row."""
+    named = body_values(rows, keys, body).groupBy(*keys).agg(F.collect_list("leaf").alias("_leaves"))
+    with_body = rows.join(named, keys, "left").withColumn("_leaves", F.coalesce("_leaves", F.array().cast(_TEXTS)))
+    return with_body.select(*keys, request_tokens(F.col(host), F.col(target), F.col("_leaves")).alias("tokens"))

@@ -85,14 +85,20 @@ def write_records(rows: DataFrame, path: str, order: list[str] | None = None, si
     (lines.coalesce(1) if single else lines).write.mode("error").text(path)
 
 
-def append_tolerantly(rows: DataFrame, schema: T.StructType, good: str, bad: str) -> tuple[int, int]:
-    """Append JSON texts (column value) that are records, and put the others into a dead-letter table."""
+def append_tolerantly(rows: DataFrame, schema: T.StructType, folder: str) -> DataFrame:
+    """Append JSON texts (column value) to folder/kind=good, and those that are no record to folder/kind=bad.
+
+    One pass parses and writes. The result counts what the folder now has: (kind, n).
+    """
     parsed = rows.withColumn("r", F.from_json("value", T.StructType([*schema, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     whole = F.col("r").isNotNull() & F.col("r._bad").isNull()
-    fine, broken = parsed.filter(whole).select("value"), parsed.filter(~whole).select("value")
-    fine.write.mode("append").text(good)
-    broken.write.mode("append").text(bad)
-    return fine.count(), broken.count()
+    parsed.select("value", F.when(whole, "good").otherwise("bad").alias("kind")).write.mode("append").partitionBy("kind").text(folder)
+    return rows.sparkSession.read.schema("value string, kind string").text(folder).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that `append_tolerantly` put aside."""
+    return spark.read.schema("value string, kind string").text(folder).filter("kind = 'bad'").select("value")
 
 
 def noise_tolerant(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

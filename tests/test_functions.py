@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.functions import evidence, grams, structure
+from lodestrand import session
+from lodestrand.functions import digests, evidence, grams, structure
 
 
 def one(spark, column):
@@ -138,3 +140,41 @@ def test_a_rejected_call_does_not_get_its_flow_back(spark):
     assert one(spark, evidence.attributed_call(a(), a("c1"), a("c1"), a("c1"))) is None
     assert one(spark, evidence.attributed_call(a(), a(), a("c2"), a("c1", "c2"))) == "c2"
     assert one(spark, evidence.attributed_call(a(), a(), a(), a("c1"))) == "c1"
+
+
+def test_canonical_arguments_and_digests(spark):
+    texts = ['{"b": [1, "é"], "a": {"y": null, "x": "z"}}', "not json", None, '"alone"']
+    got = column(spark, texts, digests.canonical_arguments)
+    assert [bytes(x) if x is not None else None for x in got] == [b'{"a": {"x": "z", "y": null}, "b": [1, "\\u00e9"]}', None, None, b'"alone"']
+    want = [hashlib.blake2b(b"tok\0" + t.encode(), key=b"salt", digest_size=16).hexdigest() for t in ("docs", "é")]
+    assert column(spark, ["docs", "é", None], lambda c: digests.token_digest(c, "salt")) == [*want, None]
+    assert column(spark, [5, None], lambda c: digests.gram_digest(c, "salt"), "long") == [hashlib.blake2b((5).to_bytes(8, "big"), key=b"salt", digest_size=16).hexdigest(), None]
+    for encoding in ("base64", "gzip", "json_escaped"):
+        (made,) = column(spark, ["BFa1é"], lambda c, e=encoding: digests.encoded(c, e))
+        assert digests.decoded(bytes(made), encoding) == "BFa1é" and b"BFa1" not in bytes(made)
+    assert len(digests.fragment("t", b"k")) == 40 and digests.fragment("t", b"k") != digests.fragment("u", b"k")
+    assert one(spark, digests.finding(F.lit("d"), F.lit("r"), F.lit("h"))) == "fragment d from reference r appeared in output toward h"
+    assert one(spark, digests.frac(F.lit(2), F.lit(3))) == 0.6667 and one(spark, digests.frac(F.lit(2), F.lit(0))) == 0.0
+    assert one(spark, digests.concurrency_levels(F.lit(10), F.lit(7))) == [2, 5] and one(spark, digests.concurrency_levels(F.lit(1), F.lit(7))) == []
+    assert column(spark, [" a  b\tc\n", "", None, "x"], digests.word_count) == [3, 0, 0, 1]
+
+
+def test_tokens_of_arguments_and_requests(spark):
+    calls = spark.createDataFrame([(1, '{"url": "https://host.example/a1b/c?q=cat&n=%20", "more": ["plain", 3, "ab"]}')], "id int, args string")
+    assert {r.token for r in structure.argument_tokens(calls, ["id"], "args").collect()} == {"host.example", "a1b", "cat", "plain"}
+    requests = spark.createDataFrame(
+        [(1, "h.example", "/p/abc?u=https%3A%2F%2Fin.example%2Fxyz", '{"deep": [{"k": "leaf"}, 4]}'), (2, "h.example", "/", "form=some+value&x=ok"), (3, "h.example", "/abc", ""), (4, "", "", None)],
+        "id int, host string, target string, body string",
+    )
+    got = {r.id: set(r.tokens) for r in structure.tokens_of_request(requests, ["id"], "host", "target", "body").collect()}
+    assert got == {1: {"h.example", "abc", "https://in.example/xyz", "in.example", "xyz", "leaf"}, 2: {"h.example", "some value"}, 3: {"h.example", "abc"}, 4: set()}
+
+
+def test_scratch_folder(spark):
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.scratch_root(Far)
+    assert session.scratch_root(spark)
