@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import evidence
-from lodestrand.functions.grams import K, covered, grams
+from lodestrand.functions.grams import K, grams
 
 #: Distinct grams of the references up to which they are broadcast (8 bytes each, and the table's overhead).
 BROADCAST_GRAMS = 1_000_000
 
 
 def reference_hits(references: DataFrame, ref: str, ref_data: str, requests: DataFrame, req: str, req_data: str, k: int = K) -> DataFrame:
-    """(req, pos, ref): where a gram of a request is one of a reference.
+    """(req, pos, gram, ref): where a gram of a request is one of a reference.
 
     Requests are first reduced to the positions whose 64-bit hash a reference has, then compared byte for
     byte. The hashes are broadcast if their number, which is counted, is small, and joined by key if not.
@@ -24,14 +24,18 @@ def reference_hits(references: DataFrame, ref: str, ref_data: str, requests: Dat
     small = hashes.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     asked = grams(requests.select(req, req_data), req_data, k).withColumn("h", F.xxhash64("gram"))
     near = asked.join(F.broadcast(hashes) if small else hashes, "h", "left_semi")
-    return near.join(known, ["h", "gram"]).select(req, "pos", ref)
+    return near.join(known, ["h", "gram"]).select(req, "pos", "gram", ref)
 
 
 def contamination(references: DataFrame, ref: str, ref_data: str, requests: DataFrame, req: str, req_data: str, k: int = K) -> DataFrame:
     """req, matched_bytes (under the union of the hits) and refs (sorted) of the requests with a hit."""
     hits = reference_hits(references, ref, ref_data, requests, req, req_data, k)
-    refs = hits.groupBy(req).agg(F.array_sort(F.collect_set(ref)).alias("refs"))
-    return covered(hits, [req], "pos", k).join(refs, req)
+    # One row a position, with the references of its gram; neighbours mostly have the same, which a set keeps once.
+    placed = hits.groupBy(req, "pos").agg(F.array_sort(F.collect_set(ref)).alias("_refs"))
+    ahead = F.lead("pos").over(Window.partitionBy(req).orderBy("pos")) - F.col("pos")
+    placed = placed.withColumn("_step", F.least(F.lit(k), F.coalesce(ahead, F.lit(k))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_refs"))))
+    return placed.groupBy(req).agg(F.sum("_step").cast("long").alias("matched_bytes"), found.alias("refs"))
 
 
 def document_frequency(documents: DataFrame, doc: str, data: str, k: int = K) -> DataFrame:
@@ -50,22 +54,34 @@ def false_positive_pairs(items: DataFrame, family: str, item: str, data: str, ks
     """k, family, pairs, matches: ordered pairs of different items of a family that share a gram.
 
     k is a column, so all lengths are one job. `decide` replaces the test (at least one shared gram) by
-    an expression over `shared`, their number.
+    an expression over `shared`, their number. Grams that the same items have are joined as one, with their
+    number, so that a passage in m items makes m (m - 1) rows and not as many for each of its grams.
     """
-    spark = items.sparkSession
-    lengths = spark.createDataFrame([(k,) for k in ks], "k int")
-    named = items.select(family, item, data)
-    # Lengths are few and fixed: their cross product with the items is the grid of the sweep.
-    all_grams = grams(named.crossJoin(F.broadcast(lengths)), data, "k").select("k", family, item, "gram").distinct()
-    left, right = all_grams.alias("a"), all_grams.alias("b")
-    same = (F.col("a.k") == F.col("b.k")) & (F.col(f"a.{family}") == F.col(f"b.{family}")) & (F.col("a.gram") == F.col("b.gram")) & (F.col(f"a.{item}") != F.col(f"b.{item}"))
-    shared = left.join(right, same).groupBy(F.col("a.k").alias("k"), F.col(f"a.{family}").alias(family), F.col(f"a.{item}").alias("x"), F.col(f"b.{item}").alias("y")).agg(F.count("*").alias("shared"))
+    lengths = items.sparkSession.createDataFrame([(k,) for k in ks], "k int")
+    shared = shared_grams(items, family, item, data, ks)
     hits = shared.filter(decide if decide is not None else F.col("shared") >= 1).groupBy("k", family).agg(F.count("*").alias("matches"))
-    sizes = named.groupBy(family).agg(F.count("*").alias("n")).select(family, (F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    sizes = items.groupBy(family).agg(F.count("*").alias("n")).select(family, (F.col("n") * (F.col("n") - 1)).alias("pairs"))
     grid = sizes.crossJoin(F.broadcast(lengths))
     return grid.join(hits, ["k", family], "left").select("k", family, "pairs", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))
 
 
+def shared_grams(items: DataFrame, family: str, item: str, data: str, ks: list[int]) -> DataFrame:
+    """k, family, x, y, shared: how many grams each ordered pair of different items of a family shares, if any."""
+    lengths = items.sparkSession.createDataFrame([(k,) for k in ks], "k int")
+    # Lengths are few and fixed: their cross product with the items is the grid of the sweep.
+    grid = items.select(family, F.col(item).alias("_i"), data).crossJoin(F.broadcast(lengths))
+    held = grams(grid, data, "k").select("k", family, "_i", F.xxhash64("gram").alias("_h"), "gram").distinct()
+    # Who has a gram, as three sums over the holders; grams with the same holders are alike.
+    mark = F.xxhash64("_i")
+    holders = held.groupBy("k", family, "_h", "gram").agg(F.count("*").alias("_n"), F.bit_xor(mark).alias("_x"), F.sum(F.shiftrightunsigned(mark, 24)).alias("_s")).filter("_n > 1")
+    alike = holders.groupBy("k", family, "_n", "_x", "_s").agg(F.count("*").alias("_m"), F.min("gram").alias("gram")).withColumn("_h", F.xxhash64("gram"))
+    chosen = held.join(alike.select("k", family, "_h", "gram", "_m"), ["k", family, "_h", "gram"])
+    left = chosen.select("k", family, "_h", "gram", "_m", F.col("_i").alias("x"))
+    right = chosen.select("k", family, "_h", "gram", F.col("_i").alias("y"))
+    met = left.join(right, ["k", family, "_h", "gram"]).filter("x <> y")
+    return met.groupBy("k", family, "x", "y").agg(F.sum("_m").alias("shared"))
+
+
 def pooled(pairs: DataFrame, family: str) -> DataFrame:
     """Rates by k and family and over all families (null), with their Wilson intervals."""
     both = pairs.rollup("k", family).agg(F.sum("matches").alias("matches"), F.sum("pairs").alias("pairs")).filter("k IS NOT NULL")
@@ -79,6 +95,19 @@ def choose(rows: DataFrame, recall: str = "recall", rate: str = "rate", k: str =
     return fit.agg(F.min_by(k, F.struct(-F.col(recall), F.col(rate), F.col(k))).alias("chosen_k"))
 
 
+def recheck(calls: DataFrame, requests: DataFrame, k: int = K) -> DataFrame:
+    """window, request, matching: of the calls in flight, those whose own arguments share a gram with the request.
+
+    calls: (window, call, data), the canonical bytes of their arguments; requests: (window, request, target,
+    body). Grams lie within the target or the body, never across both. A request without any has no row.
+    """
+    own = grams(calls, "data", k).select("window", "call", "gram").distinct().withColumn("_h", F.xxhash64("gram"))
+    wire = requests.select("window", "request", F.explode(F.array("target", "body")).alias("data"))
+    seen = grams(wire, "data", k).select("window", "request", "gram").distinct().withColumn("_h", F.xxhash64("gram"))
+    met = seen.join(own, ["window", "_h", "gram"]).select("window", "request", "call").distinct()
+    return met.groupBy("window", "request").agg(F.array_sort(F.collect_list("call")).alias("matching"))
+
+
 def longest_common_run(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, run: the longest run of equal bytes at any two places of `a` and `b` (BINARY), by pair.
 

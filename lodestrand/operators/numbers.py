@@ -160,9 +160,15 @@ def attribution(rows: DataFrame, constant_list: bool = True) -> DataFrame:
 
 
 def regime(rows: DataFrame) -> DataFrame:
-    """How the run was driven, from its largest window; null when nothing was seen."""
+    """How the run was driven, from its largest window: null when nothing was seen, and what a reader must know."""
     top = rows.agg(F.max("active_calls_in_window").alias("largest_window"))
-    return top.withColumn("regime", F.when(F.col("largest_window") > 1, "concurrent").when(F.col("largest_window").isNotNull(), "sequential"))
+    name = F.when(F.col("largest_window") > 1, "concurrent").when(F.col("largest_window").isNotNull(), "sequential")
+    note = (
+        F.when(F.col("largest_window") > 1, F.concat(F.lit("up to "), F.col("largest_window").cast("string"), F.lit(" calls were in flight: the grades are a measurement, without ground truth")))
+        .when(F.col("largest_window").isNotNull(), "at most one call was in flight, so nothing could be told apart: the grades restate how the run was driven")
+        .otherwise("no connection was seen, so no grade was given and the flows say nothing about how the run was driven")
+    )
+    return top.select("largest_window", name.alias("regime"), note.alias("note"))
 
 
 def self_hostable(run: Run, lists: DataFrame) -> DataFrame:
@@ -197,6 +203,116 @@ def phases(run: Run) -> DataFrame:
     return run.flows.groupBy(phase.alias("phase")).agg(F.count("*").alias("flows"))
 
 
+_LONG = "number int, figure string, key string, value double"
+
+
+def _long(number: int, rows: DataFrame, figures: dict[str, Column | str], key: Column | None = None) -> DataFrame:
+    """A row (number, figure, key, value) for each figure of each row; key is empty where a figure has no parts."""
+    cells = F.array(*[F.struct(F.lit(name).alias("figure"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("value")) for name, c in figures.items()])
+    parts = key if key is not None else F.lit("")
+    return rows.select(F.lit(number).alias("number"), F.coalesce(parts.cast("string"), F.lit("")).alias("key"), F.explode(cells).alias("c")).select("number", "c.figure", "key", "c.value")
+
+
+def _spread(number: int, rows: DataFrame, figure: Column) -> DataFrame:
+    """The statistics of distributions as parts of a figure each."""
+    cells = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in ("n", "p50", "p95", "max")])
+    return rows.select(F.lit(number).alias("number"), figure.alias("figure"), F.explode(cells).alias("c")).select("number", "figure", "c.key", "c.value")
+
+
+def number_one(run: Run, exclusions: DataFrame | None = None) -> DataFrame:
+    """Without a list the figure that needs one has a null, not a number."""
+    names = ("launcher_connections", "flows_with_unrecorded_phase", "package_infrastructure_connections")
+    out = _spread(1, connections_per_call(run, exclusions), F.col("figure")).unionByName(_long(1, connection_counts(run, exclusions), {n: n for n in names}))
+    if exclusions is None:
+        withheld = run.manifest.sparkSession.createDataFrame([(1, "excluding_package_infrastructure", "", None)], _LONG)
+        out = out.unionByName(withheld)
+    return out
+
+
+def number_two(run: Run) -> DataFrame:
+    return _spread(2, domains_per_call(run), F.lit("distinct_domains"))
+
+
+def number_three(run: Run) -> DataFrame:
+    names = ("servers_total", "servers_propagating", "servers_observed", "propagating_of_observed", "fraction", "fraction_of_observed")
+    return _long(3, propagation(run), {n: n for n in names}, F.coalesce("revision", F.lit("pooled"))).unionByName(_long(3, observability(run), {"observability": "servers"}, F.col("state")))
+
+
+def number_four(run: Run) -> DataFrame:
+    coverage = provenance_coverage(run)
+    out = _long(4, coverage, {n: n for n in coverage.columns})
+    for claim in ("provenance", "occurrence"):
+        out = out.unionByName(_long(4, claims(run, claim), {f"{claim}_counts": "n"}, F.col(claim)))
+    return out
+
+
+def number_five(run: Run, exclusions: DataFrame | None = None, constant_list: bool = True) -> DataFrame:
+    """The four views, the denominators, discrimination by window, the instrument and the regime, graded once."""
+    rows = graded(run, exclusions).select(
+        "grade", "reason", "possible", "eligible", "constant", "causal", "causal_channel", "active_calls_in_window",
+        "structural_match", "structural_contained", "structural_candidates", "non_discriminating_calls",
+    )
+    shares = attribution(rows, constant_list)
+    told = discrimination(rows)
+    window = F.col("active_calls_in_window").cast("string")
+    concurrent = F.when(F.col("regime") == "sequential", 1).when(F.col("regime") == "concurrent", 0)
+    return (
+        _long(5, grades(rows), {"attribution_grades": "n"}, F.col("grade"))
+        .unionByName(_long(5, reasons(rows), {"attribution_reasons": "n"}, F.col("reason")))
+        .unionByName(_long(5, channels(rows), {"content_match_by_channel": "n"}, F.col("causal_channel")))
+        .unionByName(_long(5, windows(rows), {"grades_by_window_size": "n"}, F.concat(window, F.lit(" "), F.col("grade"))))
+        .unionByName(_long(5, shares, {n: n for n in shares.columns}))
+        .unionByName(_long(5, told, {n: n for n in told.columns[1:]}, window))
+        .unionByName(_long(5, instrument(rows), {n: n for n in ("flows_where_a_call_was_contained", "flows_attributed_structurally")}))
+        .unionByName(_long(5, regime(rows), {"max_active_calls_in_window": "largest_window", "sequential_driving": concurrent}))
+    )
+
+
+def number_six(run: Run, lists: DataFrame | None) -> DataFrame:
+    """lists: (suffix, class), or None for a run that carries the categories."""
+    rows = self_hostable(run, lists) if lists is not None else self_hostable_carried(run)
+    whole = rows.agg(F.sum("hosts").alias("distinct_nodes"), F.max("fraction").alias("fraction"))
+    return _long(6, rows, {"category_counts": "hosts"}, F.col("class")).unionByName(_long(6, whole, {"distinct_nodes": "distinct_nodes", "selfhostable_fraction": "fraction"}))
+
+
+def driving_figures(run: Run) -> DataFrame:
+    """Number 0: what was driven, which is a denominator and no finding."""
+    by_size = driving(run)
+    whole = by_size.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls_total"), F.coalesce(F.sum("errored"), F.lit(0)).alias("calls_errored"))
+    figures = {"calls_total": "calls_total", "calls_errored": "calls_errored", "error_fraction": evidence.ratio(F.col("calls_errored"), F.col("calls_total"))}
+    names = ("calls", "ok", "errored", "with_arguments", "stdout_noise_lines")
+    return _long(0, whole, figures).unionByName(_long(0, by_size, {n: n for n in names}, F.col("wave_size"))).unionByName(_long(0, phases(run), {"flows_by_lifecycle_phase": "flows"}, F.col("phase")))
+
+
+def all_numbers(run: Run, lists: DataFrame | None, exclusions: DataFrame | None = None, constant_list: bool = True) -> DataFrame:
+    """(number, figure, key, value): the driving summary and the six numbers of a run in one table."""
+    parts = [driving_figures(run), number_one(run, exclusions), number_two(run), number_three(run), number_four(run), number_five(run, exclusions, constant_list), number_six(run, lists)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def document(run: Run, figures: DataFrame) -> DataFrame:
+    """One row, `figures`: a run's figures as one JSON text, fractions to four places, with what was not measured as null.
+
+    {run_id, created, pass, numbers: {number: {figure: {key: value}}}}. An unlabelled pass is named so.
+    """
+    value = F.round("value", 4)
+
+    def entries(key: str, value: str) -> Column:
+        """A map with its keys in order; the values are maps, which have none."""
+        ordered = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias(key), value)), ordered))
+
+    by_figure = figures.groupBy("number", "figure").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", value.alias("value"))))).alias("parts"))
+    by_number = by_figure.groupBy("number").agg(entries("figure", "parts").alias("figures"))
+    whole = by_number.agg(entries("number", "figures").alias("numbers"))
+    # Both sides are one row.
+    head = run.manifest.select("run_id", "created", F.coalesce(F.nullif("pass_name", F.lit("")), F.lit("unlabelled")).alias("pass"))
+    return head.crossJoin(whole).select(F.to_json(F.struct("run_id", "created", "pass", "numbers"), {"ignoreNullFields": "false"}).alias("figures"))
+
+
 def instrument_recall(sent: DataFrame, flows: DataFrame) -> DataFrame:
     """Connections sent and seen: of each host no more count as seen than were sent. Failed ones are neither."""
     truth = sent.filter(F.coalesce("error", F.lit("")) == "").groupBy("dest_host").agg(F.count("*").alias("sent"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import evidence
@@ -76,18 +76,63 @@ def control(control_hosts: DataFrame, subject_hosts: DataFrame, review: DataFram
     return n.withColumn("verdict", verdict)
 
 
+def curve(points: DataFrame, order: str, strong: str, whole: str, members: str) -> DataFrame:
+    """Add fraction, fell (null for the first point), always_fell, and what `members` gained and lost since the point before.
+
+    points: a row a measured point, of which there are few: they are put in order in one task.
+    """
+    along = Window.orderBy(order)
+    share = points.withColumn("fraction", evidence.ratio(F.col(strong), F.col(whole)))
+    stepped = share.withColumn("_before", F.lag("fraction").over(along)).withColumn("_were", F.lag(members).over(along))
+    fell = F.when(F.col("_before").isNotNull(), F.col("fraction") < F.col("_before"))
+    apart = lambda a, b: F.coalesce(F.array_sort(F.array_except(a, b)), F.array().cast("array<string>"))
+    named = stepped.withColumn("fell", fell).withColumn("added", apart(members, "_were")).withColumn("removed", apart("_were", members))
+    return named.withColumn("always_fell", F.min(F.coalesce("fell", F.lit(True))).over(Window.partitionBy())).drop("_before", "_were")
+
+
+_NESTED = ("items", "additionalProperties")
+_CHOICES = ("anyOf", "oneOf", "allOf")
+
+
+def carries_string(tools: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """(keys): those whose JSON Schema admits a string leaf: by its type, an enum of strings without a type, or a
+    schema below it (properties, items, additionalProperties, anyOf, oneOf, allOf). One step a level."""
+    spark = tools.sparkSession
+    level = tools.select(*keys, F.try_parse_json(F.col(schema)).alias("v")).filter("v IS NOT NULL")
+    out: DataFrame | None = None
+    while True:
+        level = level.filter(F.schema_of_variant("v").startswith("OBJECT"))
+        kind = F.try_variant_get("v", "$.type", "string")
+        listed = F.exists(F.coalesce(F.try_variant_get("v", "$.enum", "array<variant>"), F.array().cast("array<variant>")), lambda e: F.schema_of_variant(e) == "STRING")
+        hit = level.filter((kind == "string") | (kind.isNull() & listed)).select(*keys)
+        out = hit if out is None else out.unionByName(hit)
+        below = F.concat(
+            F.coalesce(F.map_values(F.try_variant_get("v", "$.properties", "map<string,variant>")), F.array().cast("array<variant>")),
+            F.array(*[F.try_variant_get("v", f"$.{name}", "variant") for name in _NESTED]),
+            *[F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")) for name in _CHOICES],
+        )
+        level = level.select(*keys, F.explode(below).alias("v")).filter("v IS NOT NULL")
+        if level.isEmpty():
+            return out.distinct()
+
+
 def argument_shapes(tools: DataFrame) -> DataFrame:
-    """Add `shape` to (tool, schema): by the required string properties, else by any string inside."""
-    kinds = F.from_json(F.get_json_object("schema", "$.properties"), "map<string,struct<type:string,format:string>>")
+    """Add `shape` and `declared_enum` to (tool, schema): by the required string properties, else by any string inside.
+
+    Required names that are no property do not count. declared_enum: a required string lists its values.
+    """
+    property_type = "map<string,struct<type:string,format:string,enum:array<string>>>"
+    kinds = F.from_json(F.get_json_object("schema", "$.properties"), property_type)
     required = F.from_json(F.get_json_object("schema", "$.required"), "array<string>")
-    named = tools.withColumn("p", F.coalesce(kinds, F.create_map().cast("map<string,struct<type:string,format:string>>"))).withColumn("r", F.coalesce(required, F.array().cast("array<string>")))
-    strings = F.filter("r", lambda x: F.element_at("p", x)["type"] == "string")
-    uris = F.filter(strings, lambda x: F.element_at("p", x)["format"] == "uri")
-    inside = F.col("schema").rlike(r'"type"\s*:\s*(?:"string"|\[[^\]]*"string")')
+    named = tools.withColumn("p", F.coalesce(kinds, F.create_map().cast(property_type))).withColumn("r", F.coalesce(required, F.array().cast("array<string>")))
+    named = named.withColumn("s", F.filter("r", lambda x: F.element_at("p", x)["type"] == "string"))
+    named = named.join(carries_string(tools, ["tool"], "schema").withColumn("inside", F.lit(True)), "tool", "left")
+    uris = F.filter("s", lambda x: F.element_at("p", x)["format"] == "uri")
     shape = (
-        F.when(F.size(strings) >= 2, "structured")
-        .when((F.size(strings) == 1) & (F.size(uris) > 0), "single_value_declared_uri")
-        .when((F.size(strings) == 1) | inside, "single_value")
+        F.when(F.size("s") >= 2, "structured")
+        .when((F.size("s") == 1) & (F.size(uris) > 0), "single_value_declared_uri")
+        .when((F.size("s") == 1) | F.col("inside"), "single_value")
         .otherwise("no_string")
     )
-    return named.withColumn("shape", shape).drop("p", "r")
+    listed = F.exists("s", lambda x: F.coalesce(F.size(F.element_at("p", x)["enum"]), F.lit(0)) > 0)
+    return named.withColumn("shape", shape).withColumn("declared_enum", listed).drop("p", "r", "s", "inside")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestrand.functions import evidence, structure
 from lodestrand.operators import reports
 from lodestrand.operators.containment import candidates
 from lodestrand.operators.temporal import as_of, in_flight_changes
-from lodestrand.plans.registry import Query, both, table
+from lodestrand.plans.registry import Query, table
 from lodestrand.schema import REASONS
 from lodestrand.streaming.in_flight import replay
 
@@ -249,46 +248,41 @@ SELECT under_review, reproduced, under_review - reproduced AS not_reproduced, on
        CASE WHEN under_review = 0 THEN 'nothing_under_review' WHEN reproduced = 0 THEN 'cause_not_reproduced' WHEN reproduced < under_review THEN 'cause_partially_reproduced' ELSE 'cause_reproduced' END AS verdict FROM n
 """
 
-#: Nested documents whose string leaves are asked for.
-DOCUMENTS = (
-    (1, '{"url": "https://host.example/a/b?q=cat", "n": 3, "more": {"deep": [{"x": "leaf"}, "two", null, true]}}'),
-    (2, '["alpha", ["beta", {"k": "gamma"}], 7]'),
-    (3, '"alone"'),
-    (4, "not json"),
-)
-
-
 def json_string_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String leaves of nested documents, and of the events' properties, which have none."""
-    inline = spark.createDataFrame(list(DOCUMENTS), "doc long, body string")
-    props = table(spark, sf_dir, "events").select((F.col("event_id") + 100).alias("doc"), F.col("props").alias("body"))
-    return structure.string_leaves(inline.unionByName(props), ["doc"], "body")
+    """String leaves of conversations as nested documents, and of the events' properties, which have none."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("doc"),
+        F.to_json(F.struct("turn", F.struct("role", F.array(F.struct(F.col("text").alias("said")), F.struct(F.lit(None).cast("string").alias("said"))).alias("more")).alias("say"))).alias("body"),
+    )
+    props = table(spark, sf_dir, "events").select(F.concat_ws("/", F.lit("e"), "event_id").alias("doc"), F.col("props").alias("body"))
+    broken = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.lit("p"), "page_id").alias("doc"), F.col("html").alias("body"))
+    return structure.string_leaves(turns.unionByName(props).unionByName(broken), ["doc"], "body")
 
 
-LEAVES = f"""
-WITH d(doc, body) AS (VALUES {', '.join(f"({i}, '{b}')" for i, b in DOCUMENTS)}),
-e AS (SELECT CAST(doc AS BIGINT) AS doc, body FROM d UNION ALL SELECT event_id + 100, props FROM events),
-v AS (SELECT doc, body FROM e WHERE json_valid(body))
-SELECT doc, t.atom ->> '$' AS leaf FROM v, json_tree(v.body) AS t WHERE t.type = 'VARCHAR'
+LEAVES = """
+WITH d AS (SELECT 'c/' || conv_id || '/' || turn AS doc, to_json({'turn': turn, 'say': {'role': role, 'more': [{'said': text}, {'said': NULL}]}}) AS body FROM conversations
+           UNION ALL SELECT 'e/' || event_id, CAST(props AS JSON) FROM events)
+SELECT doc, t.atom ->> '$' AS leaf FROM d, json_tree(d.body) AS t WHERE t.type = 'VARCHAR'
 """
 
-#: Argument schemas: tool and JSON Schema.
-SCHEMAS = (
-    ("fetch", '{"properties": {"url": {"type": "string", "format": "uri"}}, "required": ["url"]}'),
-    ("search", '{"properties": {"query": {"type": "string"}, "n": {"type": "integer"}}, "required": ["query"]}'),
-    ("copy", '{"properties": {"from": {"type": "string"}, "to": {"type": "string"}}, "required": ["from", "to"]}'),
-    ("list", '{"properties": {"tags": {"type": "array", "items": {"type": "string"}}}}'),
-    ("count", '{"properties": {"n": {"type": "integer"}}, "required": ["n"]}'),
-    ("ping", "{}"),
-)
-
 
 def argument_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame(list(SCHEMAS), T.StructType([T.StructField("tool", T.StringType()), T.StructField("schema", T.StringType())]))
-    return reports.argument_shapes(tools).groupBy("shape").agg(F.count("*").alias("tools"))
-
-
-SHAPES = "SELECT * FROM (VALUES ('structured', 1), ('single_value_declared_uri', 1), ('single_value', 2), ('no_string', 2)) AS t(shape, tools)"
+    """Parts as tools: a schema of two properties, of which some are strings, addresses or required; b may be in an item."""
+    text = F.when(F.col("p_partkey") % 2 == 0, '{"type": "string"').otherwise('{"type": "integer"')
+    uri = F.when(F.col("p_size") % 3 == 0, ', "format": "uri"}').otherwise("}")
+    second = F.when(F.col("p_size") % 4 == 0, '{"type": "array", "items": {"enum": ["x", 1]}}').when(F.col("p_size") % 4 == 1, '{"type": "string", "enum": ["y"]}').otherwise('{"enum": [1, 2]}')
+    required = F.element_at(F.array(*map(F.lit, ("", '"a"', '"b", "gone"', '"a", "b"'))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    schema = F.concat(F.lit('{"properties": {"a": '), text, uri, F.lit(', "b": '), second, F.lit('}, "required": ['), required, F.lit('], "examples": [{"type": "string"}]}'))
+    tools = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("tool"), schema.alias("schema"))
+    return reports.argument_shapes(tools).groupBy("shape", "declared_enum").agg(F.count("*").alias("tools"))
+
+
+SHAPES = """
+WITH p AS (SELECT p_partkey % 2 = 0 AS a, p_size % 3 = 0 AS uri, p_size % 4 = 1 AS b, p_size % 4 = 0 AS items, p_partkey % 4 IN (1, 3) AS need_a, p_partkey % 4 IN (2, 3) AS need_b FROM part),
+n AS (SELECT *, CAST(a AND need_a AS INTEGER) + CAST(b AND need_b AS INTEGER) AS strings FROM p)
+SELECT CASE WHEN strings = 2 THEN 'structured' WHEN strings = 1 AND a AND need_a AND uri THEN 'single_value_declared_uri' WHEN strings = 1 OR a OR b OR items THEN 'single_value' ELSE 'no_string' END AS shape,
+       b AND need_b AS declared_enum, count(*) AS tools FROM n GROUP BY 1, 2
+"""
 
 QUERIES = [
     Query("url_tokens", url_tokens, URL_TOKENS),
@@ -303,5 +297,5 @@ QUERIES = [
     Query("disclosure_check", disclosure_check, DISCLOSURE),
     Query("control_compare", control_compare, CONTROL),
     Query("json_string_leaves", json_string_leaves, LEAVES),
-    Query("argument_shapes", argument_shapes, SHAPES.replace(", 1)", ", CAST(1 AS BIGINT))").replace(", 2)", ", CAST(2 AS BIGINT))")),
+    Query("argument_shapes", argument_shapes, SHAPES),
 ]

@@ -93,8 +93,7 @@ def rarity_mass_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and item that reach each rung of gram rarity; no gram, no match."""
     refs, docs = _sides(spark, sf_dir)
     hits = matching.reference_hits(refs, "item_id", "data", docs, "doc_id", "data")
-    matched = hits.join(grams(docs, "data"), ["doc_id", "pos"]).select("doc_id", hits["item_id"], "gram")
-    mass = matching.rarity_mass(matched, ["doc_id", "item_id"], matching.document_frequency(refs, "item_id", "data"))
+    mass = matching.rarity_mass(hits, ["doc_id", "item_id"], matching.document_frequency(refs, "item_id", "data"))
     rungs = spark.createDataFrame([(m,) for m in LADDER], "threshold int")
     passed = mass.join(F.broadcast(rungs), F.col("mass") >= F.col("threshold") - 1e-9).groupBy("threshold").agg(F.count("*").alias("n"))
     return rungs.join(passed, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).cast("long").alias("pairs"))

@@ -19,20 +19,3 @@ class Query:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def from_sql(statement: str, *tables: str) -> Build:
-    """A query that Spark SQL expresses as it stands; each {name} in it is a table."""
-
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(statement, **{t: table(spark, sf_dir, t) for t in tables})
-
-    return build
-
-
-def both(name: str, statement: str, *tables: str) -> Query:
-    """A query whose SQL is the same for both engines."""
-    plain = statement
-    for t in tables:
-        plain = plain.replace("{" + t + "}", t)
-    return Query(name, from_sql(statement, *tables), plain)

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import random
 import struct
@@ -6,7 +7,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.operators import matching, numbers, reports
+from lodestrand import cli
+from lodestrand.operators import bench, calibration, control, disclosure, matching, numbers, redaction, reports
 from lodestrand.operators.containment import candidates
 from lodestrand.operators.distribution import distribution, zero_filled
 from lodestrand.operators.temporal import as_of, in_flight_changes
@@ -155,7 +157,8 @@ def test_records(spark, tmp_path, run):
     runs.write_records(run.calls, str(tmp_path / "out"), ["call_id"], single=True)
     assert runs.read_records(spark, str(tmp_path / "out"), CALLS).exceptAll(run.calls).count() == 0
     lines = spark.createDataFrame([('{"run_id": "a"}',), ("noise",), ('{"run_id": 1',)], "value string")
-    assert runs.append_tolerantly(lines, CALLS, str(tmp_path / "good"), str(tmp_path / "dead")) == (1, 2)
+    assert {r.kind: r.n for r in runs.append_tolerantly(lines, CALLS, str(tmp_path / "kept")).collect()} == {"good": 1, "bad": 2}
+    assert runs.dead_letters(spark, str(tmp_path / "kept")).count() == 2
     assert runs.noise_tolerant(lines, CALLS)[1].first()[0] == 2
     assert json.loads(runs.write_manifest(run.manifest))["run_id"] == "r"
     with pytest.raises(runs.RunError):
@@ -223,3 +226,173 @@ def test_time_is_not_a_timestamp_only(spark):
     flows = spark.createDataFrame([(1, "s", t)], "flow int, server string, ts timestamp_ntz")
     states = spark.createDataFrame([("s", t, "on")], "server string, ts timestamp_ntz, state string")
     assert as_of(flows, states, ["server"], "ts", "state").first().state == "on"
+
+
+def test_all_numbers_and_the_document(spark, run):
+    listed = spark.createDataFrame([("pkg.example",)], "suffix string")
+    hosted = spark.createDataFrame([("a.example", "self_hostable")], "suffix string, class string")
+    figures = numbers.all_numbers(run, hosted, listed)
+    got = {(r.number, r.figure, r.key): r.value for r in figures.collect()}
+    assert got[1, "connections_raw", "max"] == 3 and got[1, "package_infrastructure_connections", ""] == 2
+    assert got[3, "fraction", "pooled"] == 0.5 and got[5, "strong", ""] == 2 and got[6, "selfhostable_fraction", ""] == 2 / 3
+    assert got[5, "sequential_driving", ""] == 0 and got[0, "error_fraction", ""] == 1 / 3
+    (text,) = numbers.document(run, figures).first()
+    held = json.loads(text)
+    assert (held["run_id"], held["pass"]) == ("r", "sequential") and held["numbers"]["6"]["selfhostable_fraction"][""] == 0.6667
+    # Without a list a figure is withheld, and without flows the regime is not known.
+    bare = {(r.number, r.figure, r.key): r.value for r in numbers.all_numbers(runs.Run(run.manifest, run.calls, run.flows.limit(0)), None).collect()}
+    assert bare[1, "excluding_package_infrastructure", ""] is None and bare[5, "sequential_driving", ""] is None
+    assert "no connection" in numbers.regime(numbers.graded(run).limit(0)).first().note
+
+
+def test_bench_is_refused_without_a_ledger(spark, run):
+    plan = spark.createDataFrame([(3, "c1", "u", "body", "x", True)], "slot long, call_id string, cell string, channel string, expect string, fragment_present boolean")
+    truth = spark.createDataFrame([("sink003.bench.invalid", "")], "dest_host string, error string")
+    with pytest.raises(bench.BenchError):
+        bench.compute(plan.limit(0), truth, run.flows)
+    found = bench.compute(plan, truth, run.flows)
+    assert found.capture.first().hosts_never_observed == 1 and found.cells.first().flows == 0
+
+
+def test_disclosure(spark, run):
+    declared = spark.createDataFrame([("s1", ["a.example"], ["10.0.0.1"], "stated", "npx")], "server string, hosts array<string>, known array<string>, basis string, launch_tool string")
+    listed = spark.createDataFrame([("pkg.example",)], "suffix string")
+    none = disclosure.check(run.flows, None, listed)
+    assert none.verdict.first().verdict == "undeterminable" and none.servers.first().observed == ["10.0.0.1", "a.example", "reg.pkg.example"]
+    found = disclosure.check(run.flows, declared, listed)
+    (row,) = found.servers.collect()
+    assert (row.declared, row.known, row.new, row.pre_first_call, row.under_review) == (["a.example"], ["10.0.0.1"], ["reg.pkg.example"], [], True)
+    assert found.launcher.first().hosts == ["reg.pkg.example"] and found.verdict.first().servers_to_review == 1
+    # Not started by a launcher: the same flow is the server's own.
+    own = disclosure.check(run.flows, declared.withColumn("launch_tool", F.lit("python")), listed)
+    assert own.servers.first().pre_first_call == ["reg.pkg.example"] and own.launcher.isEmpty()
+
+
+def test_control_comparison(spark, run):
+    review = spark.createDataFrame([(" A.example",), ("nowhere.example",)], "host string")
+    found = control.compare(run.flows.filter("dest_host = 'a.example'"), run.flows, "s1", review)
+    assert found.verdict.first().verdict == "cause_partially_reproduced"
+    assert {r.side: (r.flows, r.causal_flows, r.alive) for r in found.matching.collect()} == {"control": (2, 1, True), "subject": (5, 1, True)}
+    assert {(r.side, r.host, r.flows) for r in found.carried.collect()} == {("control", "a.example", 2), ("subject", "a.example", 2)}
+    with pytest.raises(ValueError):
+        control.publishable(found, " ")
+    assert control.publishable(found, "by whom", repetitions=3).first().repetitions == 3
+
+
+def test_redaction_is_injective_and_keeps_the_numbers(spark, tmp_path):
+    calls = [{"call_id": "s1-1", "error": "Oops: {'code': -32602, 'message': 'Vendor'}"}, {"call_id": "s2-1", "server_id": "s2", "tool_name": "u"}]
+    flows = [{"call_id": "s1-1", "dest_host": h, "ts": float(i)} for i, h in enumerate(["b.example", "reg.pkg.example", "localhost", "a.example", "b.example", ""])]
+    run = runs.load_run(spark, make_run(tmp_path / "raw", calls, flows, server_ids=["s2", "s1"], server_protocol_versions={"s1": "2025"}))
+    listed = spark.createDataFrame([("pkg.example",)], "suffix string")
+    got = redaction.redact(run, "redacted", listed)
+    assert [r.dest_host for r in got.flows.orderBy("ts").collect()] == ["third-party-0", "package-registry-0", "loopback-proxy", "third-party-1", "third-party-0", ""]
+    assert [(r.server_id, r.call_id, r.tool_name) for r in got.calls.orderBy("server_id").collect()] == [("server-0", "server-0-1", "tool-0"), ("server-1", "server-1-1", "tool-0")]
+    assert "Vendor" not in str(got.calls.collect()) and len({r.dest_ip for r in got.flows.collect()}) == 5
+    assert got.manifest.first().server_protocol_versions == {"server-1": "2025"}
+    before, after = (rows(numbers.number_one(r, listed if r is run else None), "figure", "key", "value") for r in (run, got))
+    assert set(before) - set(after) <= {x for x in before if x[0].endswith("infrastructure") or x[0].endswith("infrastructure_connections")}
+    assert rows(numbers.grades(numbers.graded(run, listed)), "grade", "n") == rows(numbers.grades(numbers.graded(got)), "grade", "n")
+    with pytest.raises(runs.RunError):
+        redaction.redact(got, "again")
+
+
+def test_calibration_guards_and_medians(spark):
+    items = spark.createDataFrame([(0, 1, bytearray(b"x" * 30), bytearray(b"x" * 30), bytearray(b""))], "family long, item long, args binary, target binary, body binary")
+    with pytest.raises(corpora.PurposeError):
+        calibration.sweep_mass(items, items, items, "held_out")
+    for values in ([], [5], [1, 2], [3, 1, 2], [4, 4, 1, 9]):
+        df = spark.createDataFrame([(v,) for v in values], "n long")
+        want = (len(values), min(values, default=0), sorted(values)[len(values) // 2] if values else 0, max(values, default=0))
+        assert tuple(calibration.upper_median(df, "n").first()) == want
+    files = spark.createDataFrame([(bytearray(b"a CANARY_short b CANARY_" + b"z" * 40),)], "content binary")
+    assert {r.bucket: r.n for r in calibration.canaries(files).collect()} == {"below_k_invisible": 1, "at_or_above_winnowing_floor": 1}
+    row = calibration.inventory(items).first()
+    assert (row.calls, row.self_matched, row["median"], row.at_or_above_winnowing_floor) == (1, 1, 30, 1)
+
+
+def test_shared_grams_match_brute_force(spark):
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice("abc") for _ in range(rng.randint(2, 14))) for i in range(40)}
+    df = spark.createDataFrame([(i % 3, i, bytearray(t.encode())) for i, t in texts.items()], "family int, item int, data binary")
+    got = {(r.k, r.x, r.y): r.shared for r in matching.shared_grams(df, "family", "item", "data", [2, 4]).collect()}
+    own = {(k, i): {t[p : p + k] for p in range(len(t) - k + 1)} for k in (2, 4) for i, t in texts.items()}
+    want = {(k, x, y): len(own[k, x] & own[k, y]) for k in (2, 4) for x in texts for y in texts if x != y and x % 3 == y % 3}
+    assert got == {key: n for key, n in want.items() if n}
+
+
+SCHEMAS = [
+    ("a", {"properties": {"n": {"type": "integer"}}, "examples": [{"type": "string"}]}, "no_string"),
+    ("b", {"properties": {"n": {"enum": ["a", "b"]}}}, "single_value"),
+    ("c", {"properties": {"n": {"type": "array", "items": {"anyOf": [{"type": "null"}, {"type": "string"}]}}}}, "single_value"),
+    ("d", {"properties": {"u": {"type": "string", "format": "uri"}}, "required": ["u", "gone"]}, "single_value_declared_uri"),
+    ("e", {"properties": {"u": {"type": "string"}, "v": {"type": "string", "enum": ["x"]}}, "required": ["u", "v"]}, "structured"),
+    ("f", {"properties": {"n": {"enum": [1, 2]}}, "additionalProperties": False}, "no_string"),
+    ("g", {"additionalProperties": {"allOf": [{"type": "string"}]}}, "single_value"),
+    ("h", {}, "no_string"),
+]
+
+
+def test_argument_shapes(spark):
+    df = spark.createDataFrame([(t, json.dumps(s)) for t, s, _ in SCHEMAS] + [("bad", "not json")], "tool string, schema string")
+    got = {r.tool: (r["shape"], r.declared_enum) for r in reports.argument_shapes(df).collect()}
+    assert {t: s for t, (s, _) in got.items()} == {t: s for t, _, s in SCHEMAS} | {"bad": "no_string"}
+    assert got["e"][1] is True and got["d"][1] is False
+
+
+def test_small_corpora(spark, tmp_path):
+    assert corpora.registry(spark, str(tmp_path / "none.json")).count() == len(corpora.REMOTE_LEAVES)
+    (tmp_path / "reg.json").write_text('{"remote_leaf_suffixes": ["X.example"], "self_hostable_suffixes": ["own.example"]}')
+    assert corpora.registry(spark, str(tmp_path / "reg.json")).count() == len(corpora.REMOTE_LEAVES) + 2
+    (tmp_path / "d.json").write_text('{"servers": {"s1": {"hosts": ["a.example"], "known_undeclared": {"b.example": "doc"}, "launch_tool": "npx"}, "s2": {}}}')
+    assert corpora.declarations(spark, str(tmp_path / "d.json")).count() == 2 and corpora.declared_destinations(spark, str(tmp_path / "d.json")).count() == 2
+    servers = spark.createDataFrame([("s1", "server-0"), ("s2", "server-1")], "server_id string, label string")
+    hosts = spark.createDataFrame([("a.example", "third-party-0"), ("b.example", "third-party-1")], "host string, label string")
+    block = corpora.relabelled_declarations(corpora.declarations(spark, str(tmp_path / "d.json")), servers, hosts)
+    back = {r.server: (r.hosts, r.known, r.launch_tool) for r in corpora.carried_declarations(spark, block).collect()}
+    assert back == {"server-0": (["third-party-0"], ["third-party-1"], "npx"), "server-1": ([], [], "")}
+    secrets = spark.createDataFrame([("s1", ["A", "B"]), ("s2", [])], "server string, secrets array<string>")
+    assert {r.server: r.credential_presence for r in corpora.credential_presence(secrets, ["B"]).collect()} == {"s1": {"A": False, "B": True}}
+    files = spark.createDataFrame([("a.md", "one two\n# Start\nthree four five\n# End\nsix"), ("b.md", " x  y\tz ")], "path string, text string")
+    classes = spark.createDataFrame([("a.md", "findings", "# Start", "# End"), ("b.md", "corpus_material", None, None)], "path string, bucket string, start string, end string")
+    assert {r.bucket: (r.documents, r.words) for r in corpora.word_budget(files, classes).collect()} == {"findings": (1, 5), "operation": (1, 5), "corpus_material": (1, 3)}
+    with pytest.raises(Exception, match="not classified"):
+        corpora.word_budget(files, classes.filter("path = 'b.md'")).collect()
+    contents = spark.createDataFrame([("b", bytearray(b"2")), ("a", bytearray(b"1"))], "path string, content binary")
+    digests = [hashlib.sha256(x).hexdigest() for x in (b"1", b"2")]
+    assert corpora.corpus_digest(contents).first()[0] == hashlib.sha256("".join(digests).encode()).hexdigest()
+
+
+def test_capture_is_rewritten(spark, tmp_path):
+    def frame(src, dst):
+        ip = bytes([0x45, 0, 0, 44, 0, 0, 0, 0, 64, 6, 1, 2, *map(int, src.split(".")), *map(int, dst.split("."))])
+        data = bytes(range(12)) + b"\x08\x00" + ip + struct.pack("!HHIIBBHHH", 1, 443, 0, 0, 0x50, 2, 0, 0, 0) + b"body"
+        return struct.pack("<IIII", 7, 8, len(data), len(data)) + data
+
+    raw = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + frame("10.0.0.9", "1.2.3.4") + frame("10.0.0.9", "9.9.9.9")
+    (tmp_path / "x.pcap").write_bytes(raw)
+    known = spark.createDataFrame([("10.0.0.9", "192.0.2.9"), ("1.2.3.4", "192.0.2.10")], "address string, replacement string")
+    content = bytes(pcap.rewrite(spark, str(tmp_path / "x.pcap"), known).first().content)
+    assert dict(pcap.connection_attempts(content)) == {"192.0.2.10:443": 1}
+    assert b"body" not in content and bytes([1, 2, 3, 4]) not in content[40:]
+    header = content[24 + 16 + 14 : 24 + 16 + 34]
+    total = sum(struct.unpack("!10H", header))
+    assert (total & 0xFFFF) + (total >> 16) == 0xFFFF
+
+
+def test_commands(spark, tmp_path, run, capsys):
+    folder = str(tmp_path / "run")
+    assert cli.main(["numbers", "--run", folder, "--number", "2"], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["figure"] == "distinct_domains"
+    assert cli.main(["disclosure", "--run", folder], spark) == 1
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["verdict"] == "undeterminable"
+    assert cli.main(["redact", "--run", folder, "--run-id", "x", "--out", str(tmp_path / "redacted")], spark) == 0
+    assert cli.main(["numbers", "--run", str(tmp_path / "redacted"), "--document"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["run_id"] == "x"
+    with pytest.raises(bench.BenchError):
+        cli.main(["bench", "--run", folder], spark)
+    half = {"half": "calibration", "families": [{"family": "f", "calls": [{"call_id": "1", "arguments": '{"b": "https://host.example/a/long/path", "a": 1}', "target": "/a?u=https://host.example/a/long/path", "body": "", "information": []}]}]}
+    (tmp_path / "half.json").write_text(json.dumps(half))
+    assert cli.main(["inventory", "--corpus", str(tmp_path / "half.json")], spark) == 0
+    assert json.loads(capsys.readouterr().out)["self_matched"] == 1
+    assert cli.main(["ksweep", "--corpus", str(tmp_path / "half.json"), "--least", "30", "--most", "40", "--step", "10"], spark) == 0
+    assert [json.loads(x)["matched"] for x in capsys.readouterr().out.splitlines()] == [1, 0]
