@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lodestrand.llm import simhash
@@ -83,10 +84,12 @@ def test_large_buckets_by_the_finer_index():
     assert a == groups(near, [int(x) for x in fps])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("frequent", [256, 3])
+def test_components(spark, monkeypatch, frequent):
+    monkeypatch.setattr("lodestrand.llm.components.LEAST_FREQUENT", frequent)
     rng = random.Random(9)
     for n, m in ((60, 50),):
-        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(100, 140)]
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)]
         got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
         nodes = {x for e in edges if e[0] != e[1] for x in e}
         assert got == groups(edges, nodes)

@@ -7,7 +7,6 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
 from tokenizers import Tokenizer
 
 from lodestrand.llm import packing, tokenfile
