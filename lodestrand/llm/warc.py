@@ -23,6 +23,7 @@ from .common import bounded_batches, filesystem, materialise, one_task_each, scr
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
+SKIPPABLE = 0x184D2A50, 0x184D2A5F
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN_AT = "2024-01-01T00:00:00Z"
 #: Payloads from which an equal one is written as a revisit.
@@ -172,10 +173,19 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[Record]:
         dictionary = zstandard.ZstdCompressionDict(content)
     unpacker = zstandard.ZstdDecompressor(dict_data=dictionary)
     while True:
+        while len(held) < 8 and (more := stream.read(chunk)):
+            held += more
         if not held:
-            held = stream.read(chunk)
-            if not held:
-                return
+            return
+        if len(held) >= 8 and SKIPPABLE[0] <= struct.unpack("<I", held[:4])[0] <= SKIPPABLE[1]:
+            # Any other skippable frame is none of ours.
+            over = 8 + struct.unpack("<I", held[4:8])[0]
+            while over > len(held):
+                over, held = over - len(held), stream.read(chunk)
+                if not held:
+                    raise ArchiveError("a skippable frame is cut off")
+            held = held[over:]
+            continue
         frame = unpacker.decompressobj()
         parts = []
         try:
@@ -189,8 +199,7 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[Record]:
                     raise ArchiveError("the last frame is cut off")
         except zstandard.ZstdError as e:
             raise ArchiveError(f"a frame can't be decoded: {e}") from e
-        if content := b"".join(parts):  # other skippable frames hold nothing
-            yield parse_record(content)
+        yield parse_record(b"".join(parts))  # an empty frame is no record
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

@@ -83,6 +83,18 @@ def test_plain_dictionaries_are_read():
     assert len(list(warc.read_archive(io.BytesIO(struct.pack("<II", warc.DICTIONARY_MAGIC, len(plain)) + plain + data[8 + size :])))) == 50
 
 
+def test_skippable_frames_are_skipped_and_empty_frames_refused():
+    record = warc.make_record(4, "u", b"data", hashlib.sha256(b"data").hexdigest(), None, False)
+    one = zstandard.ZstdCompressor().compress(record)
+    other = struct.pack("<II", 0x184D2A50, 5000) + bytes(5000)
+    for chunk in (7, 1 << 20):
+        assert len(list(warc.read_archive(io.BytesIO(one + other + one + other), chunk))) == 2
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(io.BytesIO(one + zstandard.ZstdCompressor().compress(b"") + one)))
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_archive(io.BytesIO(one + other[:100])))
+
+
 def test_damage_is_found():
     data, _ = archive()
     for bad in (data[:-5], data[: len(data) // 2]):
