@@ -23,8 +23,9 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Words of a block at most, and blocks that the smallest source's target has at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1000
-#: Words and rows of a shard on average at most.
-SHARD_WORDS, SHARD_ROWS = 1_000_000, 20_000
+#: Words and rows of a shard on average at most, and shards of a source, which are ranked in one task: a larger
+#: source has larger shards.
+SHARD_WORDS, SHARD_ROWS, MOST_SHARDS = 1_000_000, 20_000, 100_000
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, most:
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.coalesce(least, F.lit(1.0)) / LEAST_BLOCKS))).cast("long"))
     sources = sources.withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long"))
     sources = apportion(sources, [], "target", "seats", [F.col("source")])
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)).cast("long")
+    shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS)))).cast("long")
     sources = materialise(sources.select("source", "source_size", "target", "block", "quota", shards.alias("shards")), "sources")
 
     # Names are joined by value and nullness, as a null source is a source too.
