@@ -92,3 +92,24 @@ def word_count(text: Column) -> Column:
     """Words as runs of anything but white space."""
     core = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     return F.when(core == "", 0).otherwise(F.size(F.split(core, r"(?U)\s+"))).cast("long")
+
+
+def traceparent() -> Column:
+    """A new trace context for each row (version 00, sampled); it differs each time."""
+    hexes = lambda n: F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, n)
+    return F.concat(F.lit("00-"), hexes(32), F.lit("-"), hexes(16), F.lit("-01"))
+
+
+def first_difference(left: Column, right: Column) -> Column:
+    """struct(line, left, right): the first line (from 1) in which two texts differ, runs of blanks counting as one; null for none."""
+    lines = lambda c: F.transform(F.split(c, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
+    both = F.zip_with(lines(left), lines(right), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    placed = F.transform(both, lambda x, i: F.struct((i + 1).alias("line"), x["left"].alias("left"), x["right"].alias("right")))
+    return F.get(F.filter(placed, lambda x: ~x["left"].eqNullSafe(x["right"])), F.lit(0))
+
+
+def summary_counts(text: Column) -> Column:
+    """The counts of a test run's summary line by outcome, as a map."""
+    found = F.regexp_extract_all(text, F.lit(r"\d+ (?:passed|failed|skipped|errors?|xfailed|xpassed)"), F.lit(0))
+    pairs = F.transform(found, lambda x: F.struct(F.regexp_replace(F.split_part(x, F.lit(" "), F.lit(2)), "^error$", "errors").alias("outcome"), F.split_part(x, F.lit(" "), F.lit(1)).cast("long").alias("n")))
+    return F.map_from_entries(pairs)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions import evidence
+
 
 def candidates(calls: DataFrame, requests: DataFrame) -> DataFrame:
     """wave, request, contained and discriminating (sorted ids), non_discriminating, token_count.
@@ -42,3 +44,19 @@ def candidates(calls: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce("mute", F.lit(0)).cast("long").alias("non_discriminating"),
         F.when(F.size(found) == 1, F.col("size")).otherwise(0).cast("long").alias("token_count"),
     )
+
+
+def simulate(calls: DataFrame, targets: DataFrame) -> DataFrame:
+    """Add grade, reason and false_strong to requests that are derived from the calls of waves, as if all were in flight.
+
+    calls: (wave, call, tokens); targets: (wave, request, call, tokens), requests with the call that makes each. A
+    strong grade for another call than that is a false one.
+    """
+    found = candidates(calls, targets.select("wave", "request", "tokens"))
+    active = calls.groupBy("wave").agg(F.count("*").alias("active"))
+    rows = found.join(targets.select("wave", "request", F.col("call").alias("_own")), ["wave", "request"]).join(active, "wave")
+    told = F.size("discriminating")
+    ladder = evidence.grade(F.lit(False), told > 0, F.col("active"), told, F.lit(True), F.lit(True), F.lit(True), F.col("token_count"))
+    graded = rows.withColumn("_g", ladder).select("wave", "request", "_g.grade", "_g.reason", "discriminating", "_own")
+    false_strong = (F.col("grade") == "CONTENT_UNIQUE") & ~F.get("discriminating", F.lit(0)).eqNullSafe(F.col("_own"))
+    return graded.withColumn("false_strong", false_strong).drop("discriminating", "_own")

@@ -108,6 +108,21 @@ def recheck(calls: DataFrame, requests: DataFrame, k: int = K) -> DataFrame:
     return met.groupBy("window", "request").agg(F.array_sort(F.collect_list("call")).alias("matching"))
 
 
+def longest_matched_run(references: DataFrame, ref: str, ref_data: str, requests: DataFrame, req: str, req_data: str, k: int = K) -> DataFrame:
+    """req, ref, run: the longest run of equal bytes of each pair that shares a gram, which is k at least.
+
+    Matched grams at consecutive places of both lie on a diagonal; a run is an island of one, and k - 1 bytes. So
+    only matched places are joined, whatever the lengths of the two.
+    """
+    hits = reference_hits(references, ref, ref_data, requests, req, req_data, k).withColumn("_h", F.xxhash64("gram"))
+    places = grams(references.select(ref, ref_data), ref_data, k).select(ref, F.col("pos").alias("_at"), "gram", F.xxhash64("gram").alias("_h"))
+    met = hits.join(places, [ref, "_h", "gram"]).select(req, ref, "pos", (F.col("pos") - F.col("_at")).alias("_d"))
+    along = Window.partitionBy(req, ref, "_d").orderBy("pos")
+    islands = met.withColumn("_island", F.col("pos") - F.row_number().over(along))
+    runs = islands.groupBy(req, ref, "_d", "_island").agg(F.count("*").alias("n"))
+    return runs.groupBy(req, ref).agg((F.max("n") + k - 1).alias("run"))
+
+
 def longest_common_run(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, run: the longest run of equal bytes at any two places of `a` and `b` (BINARY), by pair.
 

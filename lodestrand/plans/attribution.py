@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import evidence, structure
 from lodestrand.operators import reports
-from lodestrand.operators.containment import candidates
+from lodestrand.operators.containment import candidates, simulate
 from lodestrand.operators.temporal import as_of, in_flight_changes
 from lodestrand.plans.registry import Query, table
 from lodestrand.schema import REASONS
@@ -74,6 +74,33 @@ FROM pages p LEFT JOIN held h ON h.request = p.page_id LEFT JOIN mute ON mute.wa
 """
 
 
+def sibling_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of a wave's pages and of a file that every client asks for on their hosts, as if the wave were in flight."""
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / WAVE).cast("long").alias("wave"), "page_id", structure.split_string(F.col("url")).alias("tokens"))
+    calls = pages.select("wave", F.col("page_id").alias("call"), F.filter("tokens", lambda t: ~t.startswith("utm_")).alias("tokens"))
+    own = pages.select("wave", F.col("page_id").alias("request"), F.col("page_id").alias("call"), "tokens")
+    fixed = own.select("wave", (F.col("request") + (1 << 40)).alias("request"), "call", F.array(F.get("tokens", F.lit(0)), F.lit("robots.txt")).alias("tokens"))
+    found = simulate(calls, own.unionByName(fixed))
+    return found.groupBy("grade", (F.col("request") >= 1 << 40).alias("fixed")).agg(F.count("*").alias("requests"), F.count_if("false_strong").alias("false_strong"))
+
+
+SIMULATION = f"""
+WITH {_SQL_TOKENS},
+c AS (SELECT page_id // {WAVE} AS wave, page_id AS call, token FROM toks WHERE token NOT LIKE 'utm\\_%' ESCAPE '\\'),
+r AS (SELECT page_id // {WAVE} AS wave, page_id AS request, page_id AS own, token, false AS fixed FROM toks
+      UNION ALL SELECT page_id // {WAVE}, page_id, page_id, unnest([host, 'robots.txt']), true FROM parts),
+s AS (SELECT wave, call, count(*) AS size FROM c GROUP BY 1, 2),
+tells AS (SELECT wave, call, max(alone) AS tells FROM (SELECT wave, call, CASE WHEN count(*) OVER (PARTITION BY wave, token) = 1 THEN 1 ELSE 0 END AS alone FROM c) GROUP BY 1, 2),
+held AS (SELECT r.wave, r.request, r.fixed, c.call FROM r JOIN c ON r.wave = c.wave AND r.token = c.token JOIN s ON s.wave = c.wave AND s.call = c.call GROUP BY r.wave, r.request, r.fixed, c.call, s.size HAVING count(DISTINCT r.token) = s.size),
+n AS (SELECT p.page_id AS request, f.fixed, count(t.call) AS told, max(t.call) AS one, max(s.size) FILTER (WHERE t.call IS NOT NULL) AS size
+      FROM parts p CROSS JOIN (SELECT unnest([false, true]) AS fixed) f LEFT JOIN held h ON h.request = p.page_id AND h.fixed = f.fixed LEFT JOIN tells t ON t.wave = h.wave AND t.call = h.call AND t.tells = 1 LEFT JOIN s ON s.call = t.call GROUP BY 1, 2),
+w AS (SELECT page_id // {WAVE} AS wave, count(*) AS active FROM pages GROUP BY 1),
+g AS (SELECT n.*, CASE WHEN told = 1 AND size = 1 THEN 'CONTENT_AMBIGUOUS' WHEN told > 0 AND active > 1 AND told = 1 THEN 'CONTENT_UNIQUE' WHEN told > 0 AND active > 1 THEN 'CONTENT_AMBIGUOUS'
+             WHEN told > 0 THEN 'CONTENT_MATCH_UNCONTESTED' WHEN active = 1 THEN 'TEMPORAL_ONLY' ELSE 'UNATTRIBUTED' END AS grade FROM n JOIN w ON w.wave = n.request // {WAVE})
+SELECT grade, fixed, count(*) AS requests, count(*) FILTER (WHERE grade = 'CONTENT_UNIQUE' AND one <> request) AS false_strong FROM g GROUP BY 1, 2
+"""
+
+
 def host_suffix_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts by class: the first list that has the host or a suffix of it at a label."""
     host = F.regexp_extract("url", "^[^/?#]*?://([^/?#]*)", 1)
@@ -165,26 +192,24 @@ SELECT *, CASE WHEN flows > 0 THEN strong::DOUBLE / flows ELSE 0.0 END AS raw_fr
 """
 
 
-def event_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events as a change log (signup publishes a call, error drains) and as flows (view, click)."""
-    events = table(spark, sf_dir, "events")
-    call = F.when(F.col("event_type") == "signup", F.array(F.col("event_id").cast("string")))
-    phase = F.when(F.col("event_type") == "signup", "driving").otherwise("drained")
-    log = events.filter(F.col("event_type").isin("signup", "error")).select("user_id", "ts", phase.alias("phase"), call.alias("active"), "event_id")
-    states = in_flight_changes(log, ["user_id", "event_id"], "ts", "phase", "active")
-    flows = events.filter(F.col("event_type").isin("view", "click")).select("event_id", "user_id", "ts")
-    return flows, states
+def _event_log(events: DataFrame) -> DataFrame:
+    """Events as a log: signup publishes a wave of two calls, error drains, view and click are flows."""
+    kind = F.col("event_type")
+    phase = F.when(kind == "signup", "driving").when(kind == "error", "drained")
+    wave = F.when(kind == "signup", F.array(*[F.concat(F.col("event_id").cast("string"), F.lit(x)) for x in "ab"]))
+    return events.filter(kind.isin("signup", "error", "view", "click")).select("event_id", "ts", F.col("user_id").alias("key"), phase.alias("phase"), wave.alias("active"))
 
 
 def asof_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was in flight for its user when each flow was seen; null before any state, empty after a drain."""
-    flows, states = event_states(spark, sf_dir)
-    found = as_of(flows, states, ["user_id"], "ts", "active", "event_id")
-    return found.select("event_id", "user_id", F.array_join("active", ",").alias("in_flight"))
+    log = _event_log(table(spark, sf_dir, "events"))
+    states = in_flight_changes(log.filter("phase IS NOT NULL"), ["key", "event_id"], "ts", "phase", "active")
+    found = as_of(log.filter("phase IS NULL").select("event_id", "key", "ts"), states, ["key"], "ts", "active", "event_id")
+    return found.select("event_id", F.col("key").alias("user_id"), F.array_join("active", ",").alias("in_flight"))
 
 
 ASOF = """
-WITH s AS (SELECT user_id, ts, CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) ELSE '' END AS in_flight FROM events
+WITH s AS (SELECT user_id, ts, CASE WHEN event_type = 'signup' THEN event_id || 'a,' || event_id || 'b' ELSE '' END AS in_flight FROM events
            WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1),
 f AS (SELECT event_id, user_id, ts FROM events WHERE event_type IN ('view', 'click'))
 SELECT f.event_id, f.user_id, s.in_flight FROM f ASOF LEFT JOIN s ON f.user_id = s.user_id AND f.ts >= s.ts
@@ -209,7 +234,8 @@ GROUP BY a.conv_id, a.turn, a.r
 
 def streaming_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same question as asof_in_flight, asked of a stream with keyed state."""
-    return replay(spark, f"{sf_dir}/events.parquet")
+    found = replay(spark, f"{sf_dir}/events.parquet", _event_log)
+    return found.select("event_id", F.col("key").cast("long").alias("user_id"), F.array_join("in_flight", ",").alias("in_flight"))
 
 
 def _page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +313,7 @@ SELECT CASE WHEN strings = 2 THEN 'structured' WHEN strings = 1 AND a AND need_a
 QUERIES = [
     Query("url_tokens", url_tokens, URL_TOKENS),
     Query("containment_candidates", containment_candidates, CANDIDATES),
+    Query("sibling_simulation", sibling_simulation, SIMULATION),
     Query("host_suffix_class", host_suffix_class, HOST_CLASS),
     Query("attribution_grades", attribution_grades, GRADES_SQL),
     Query("grades_by_window", grades_by_window, WINDOWS_SQL),

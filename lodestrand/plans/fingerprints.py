@@ -175,6 +175,23 @@ SELECT item_id, max(n) AS run FROM (SELECT item_id, d, island, count(*) AS n FRO
 """
 
 
+def longest_matched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of bytes that each document has in common with each item that it carries."""
+    refs, docs = _sides(spark, sf_dir)
+    return matching.longest_matched_run(refs, "item_id", "data", docs, "doc_id", "data")
+
+
+MATCHED_RUNS = f"""
+WITH {_SQL_GRAMS},
+pairs AS (SELECT DISTINCT doc_id, item_id FROM hits JOIN bg USING (gram)),
+x AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM pairs))),
+y AS (SELECT item_id, p, substr(h, 2 * p + 1, 2) AS byte FROM (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS p FROM b)),
+m AS (SELECT doc_id, item_id, x.p AS i, x.p - y.p AS g FROM pairs JOIN x USING (doc_id) JOIN y USING (item_id) WHERE x.byte = y.byte),
+s AS (SELECT doc_id, item_id, g, i - row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY i) AS island FROM m)
+SELECT doc_id, item_id, max(n) AS run FROM (SELECT doc_id, item_id, g, island, count(*) AS n FROM s GROUP BY 1, 2, 3, 4) GROUP BY 1, 2
+"""
+
+
 def detectability_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many neighbouring pairs share a run that clears each floor (k = 6, w = 4)."""
     runs = longest_common_runs(spark, sf_dir)
@@ -218,6 +235,7 @@ QUERIES = [
     Query("false_positive_pairs", false_positive_pairs, FALSE_POSITIVES),
     Query("k_sweep", k_sweep, K_SWEEP),
     Query("longest_common_runs", longest_common_runs, RUNS),
+    Query("longest_matched_runs", longest_matched_runs, MATCHED_RUNS),
     Query("detectability_buckets", detectability_buckets, BUCKETS),
     Query("precision_recall_vs_truth", precision_recall_vs_truth, PRECISION),
 ]

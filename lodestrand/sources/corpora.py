@@ -63,6 +63,14 @@ def control_reasons(transfers: DataFrame) -> DataFrame:
     return sent.withColumn("not_detectable_reason", reason).withColumn("detectable_by_design", reason.isNull())
 
 
+def write_controls(transfers: DataFrame, path: str) -> None:
+    """The transfers that were sent, each with why it can't be seen, as JSON lines in order; bodies as base64."""
+    rows = control_reasons(transfers).drop("error")
+    if "body" in rows.columns:
+        rows = rows.withColumn("body_b64", F.base64("body")).drop("body")
+    rows.orderBy("transfer_id").write.mode("error").json(path)
+
+
 def background(spark: SparkSession, pattern: str, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """(path, content) of the files that a pattern names; a forbidden one among them is an error."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,11 @@ def test_scratch_folder(spark):
     with pytest.raises(RuntimeError):
         session.scratch_root(Far)
     assert session.scratch_root(spark)
+
+
+def test_small_texts(spark):
+    made = [r.x for r in spark.range(3).select(digests.traceparent().alias("x")).collect()]
+    assert len(set(made)) == 3 and all(re.fullmatch(r"00-[0-9a-f]{32}-[0-9a-f]{16}-01", x) for x in made)
+    found = one(spark, digests.first_difference(F.lit("a  b\nsame\nx"), F.lit("a b \nsame\ny\nz")))
+    assert tuple(found) == (3, "x", "y") and one(spark, digests.first_difference(F.lit("a\tb"), F.lit("a b"))) is None
+    assert one(spark, digests.summary_counts(F.lit("== 3 failed, 714 passed, 1 error in 2s =="))) == {"failed": 3, "passed": 714, "errors": 1}

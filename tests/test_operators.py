@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand import cli
 from lodestrand.operators import bench, calibration, control, disclosure, matching, numbers, redaction, reports
-from lodestrand.operators.containment import candidates
+from lodestrand.operators.containment import candidates, simulate
 from lodestrand.operators.distribution import distribution, zero_filled
 from lodestrand.operators.temporal import as_of, in_flight_changes
 from lodestrand.schema import CALLS, DEFAULTS, FLOWS
@@ -142,7 +142,8 @@ def test_numbers(spark, run):
 
 
 def test_aggregates_name_nothing(spark, run):
-    results = [numbers.connections_per_call(run), numbers.observability(run), numbers.propagation(run), numbers.grades(numbers.graded(run))]
+    figures = numbers.all_numbers(run, None)
+    results = [numbers.connections_per_call(run), numbers.observability(run), numbers.propagation(run), numbers.grades(numbers.graded(run)), figures, numbers.document(run, figures)]
     text = str([r.asDict() for df in results for r in df.collect()])
     assert not any(name in text for name in ("a.example", "s1", "c1"))
 
@@ -339,6 +340,31 @@ def test_argument_shapes(spark):
     assert got["e"][1] is True and got["d"][1] is False
 
 
+def test_controls_are_written_with_their_reasons(spark, tmp_path):
+    sent = [("t2", "header", "", True, "", b"x"), ("t1", "body", "gzip", True, "", b"y"), ("t3", "body", "", False, "", b""), ("t4", "body", "", True, "", b"z"), ("t5", "body", "", True, "lost", b"")]
+    df = spark.createDataFrame([(a, b, c, d, e, bytearray(f)) for a, b, c, d, e, f in sent], "transfer_id string, channel string, encoding string, fragment_present boolean, error string, body binary")
+    corpora.write_controls(df, str(tmp_path / "controls"))
+    got = {r.transfer_id: (r.detectable_by_design, r.body_b64) for r in spark.read.json(str(tmp_path / "controls")).collect()}
+    assert got == {"t1": (False, "eQ=="), "t2": (False, "eA=="), "t3": (False, ""), "t4": (True, "eg==")}
+
+
+def test_simulated_siblings(spark):
+    calls = spark.createDataFrame([(0, "a", ["x", "y"]), (0, "b", ["x", "z"]), (1, "c", ["k", "l"])], "wave int, call string, tokens array<string>")
+    targets = spark.createDataFrame([(0, "ra", "a", ["x", "y"]), (0, "rb", "b", ["x", "y"]), (0, "r0", "a", ["x"]), (1, "rc", "c", ["k", "l", "m"])], "wave int, request string, call string, tokens array<string>")
+    got = {r.request: (r.grade, bool(r.false_strong)) for r in simulate(calls, targets).collect()}
+    assert got == {"ra": ("CONTENT_UNIQUE", False), "rb": ("CONTENT_UNIQUE", True), "r0": ("UNATTRIBUTED", False), "rc": ("CONTENT_MATCH_UNCONTESTED", False)}
+
+
+def test_longest_matched_run(spark):
+    rng = random.Random(3)
+    refs = {i: "".join(rng.choice("ab") for _ in range(30)) for i in range(4)}
+    docs = {i: "".join(rng.choice("ab") for _ in range(60)) for i in range(6)}
+    frame = lambda d, n: spark.createDataFrame([(i, bytearray(t.encode())) for i, t in d.items()], f"{n} int, data binary")
+    got = {(r.doc, r.ref): r.run for r in matching.longest_matched_run(frame(refs, "ref"), "ref", "data", frame(docs, "doc"), "doc", "data", 6).collect()}
+    longest = {(d, r): max((n for n in range(1, 31) for p in range(31 - n) if refs[r][p : p + n] in docs[d]), default=0) for d in docs for r in refs}
+    assert got == {key: n for key, n in longest.items() if n >= 6}
+
+
 def test_small_corpora(spark, tmp_path):
     assert corpora.registry(spark, str(tmp_path / "none.json")).count() == len(corpora.REMOTE_LEAVES)
     (tmp_path / "reg.json").write_text('{"remote_leaf_suffixes": ["X.example"], "self_hostable_suffixes": ["own.example"]}')
