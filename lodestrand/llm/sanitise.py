@@ -33,10 +33,10 @@ _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.|$)){4}$"
 #: A text without these can hold no match of the kind.
 _NEEDS = {"email": r"@", "phone": r"\+"}
 
-#: Characters to each side of a value by which passages are the same; share of the passages that a term must
+#: Characters to each side of a value by which passages are the same, and keys by which near copies are; share of the passages that a term must
 #: be with; chance, for each value, that any term of the vocabulary would be with it as often; shares disclosed
 #: from which a term is generalised or removed.
-CONTEXT_CHARS = 100
+CONTEXT_CHARS, SKETCHES = 100, 3
 LEAST_SHARE, CHANCE = 0.5, 0.01
 GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8
 #: Share of the texts from which an entity is frequent; so few are that they are broadcast.
@@ -138,6 +138,16 @@ def _free_words(text: Column) -> Column:
     return _words(F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text))
 
 
+def _sketches(words: Column) -> Column:
+    """SKETCHES keys of a set of words, each of two of its smallest hashes: near copies share one, other texts hardly do."""
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(words, lambda w: F.xxhash64(F.lit(seed), w)))
+
+    keys = [F.xxhash64(F.lit(i), least(2 * i), least(2 * i + 1)) for i in range(SKETCHES)]
+    return F.when(F.size(words) > 0, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+
+
 def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
     """(th, text): each text once, with its hash; only texts that may be repeated are moved."""
     hashed = corpus.select(F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
@@ -146,12 +156,15 @@ def distinct_texts(corpus: DataFrame, text: str = "text") -> DataFrame:
     return marked.filter("NOT likely").select("th", "text").unionByName(marked.filter("likely").select("th", "text").dropDuplicates(["th"]))
 
 
-def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(value, terms): for each entity its disclosive terms, each (term, removed).
+def associations(found: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
+    """value, term, surprise, needed, share of the terms that are with half of an entity's passages at least.
+
+    share: what of the entity the term discloses; surprise: how improbable it is that chance brings them together as
+    often, in nats; needed: the surprise from which that counts.
 
     found: rows with `spans` and, where there are any, `text`; corpus: all texts. Terms count wherever in
-    a text they are, and equal texts count once. So do texts that repeat one passage around a value, of which
-    each has a part of one: copies of one passage prove nothing. However few texts a value has, its
+    a text they are, and equal texts count once. So do near copies, and texts that repeat one passage around a value, of
+    which each has a part of one: copies of one passage prove nothing. However few texts a value has, its
     terms are weighed; one counts only if chance would not bring any of the vocabulary together with
     the value as often (Chernoff's bound, times the number of terms, at most CHANCE).
     """
@@ -162,11 +175,13 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
     spanned = found.filter(F.size("spans") > 0).withColumn("th", F.xxhash64("text"))
     # A class is seen wherever one of its values is.
     named = F.explode(F.flatten(F.transform("spans", lambda s: F.transform(_entities(F.array(s)), lambda e: F.struct(s["start"].alias("start"), s["end"].alias("end"), e.alias("value"))))))
-    seen = spanned.select("th", "text", named.alias("s"))
+    sketched = spanned.withColumn("sketches", _sketches(_free_words(F.col("text"))))
+    seen = sketched.select("th", "text", "sketches", named.alias("s"))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(CONTEXT_CHARS)).cast("int"))
     right = F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(CONTEXT_CHARS))
     context = F.xxhash64(F.concat(left, F.lit(" \u0000 "), right))
-    seen = seen.select("th", F.col("s.value").alias("value"), context.alias("ctx")).distinct()
+    keys = F.concat(F.array(context), F.col("sketches"))
+    seen = seen.select("th", F.col("s.value").alias("value"), F.explode(keys).alias("ctx")).distinct()
     alike = seen.groupBy("value", "ctx").agg(F.count("*").alias("m"))
     parts = seen.join(alike, ["value", "ctx"]).groupBy("value", "th").agg((1.0 / F.max("m")).alias("part"))
     parts = materialise(parts, "passages")
@@ -187,7 +202,12 @@ def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") ->
     surprise = F.when(among > overall, F.col("n_e") * (among * F.log(among / overall) + apart)).otherwise(0.0)
     own = F.log2(total / F.col("docs_e"))
     share = F.when(own > 0, F.log2(among / overall) / own).otherwise(0.0)
-    flagged = joined.filter(surprise >= needed - 1e-6).withColumn("share", share).filter(F.col("share") >= GENERALISE_FROM)
+    return joined.select("value", "term", surprise.alias("surprise"), F.lit(needed).alias("needed"), share.alias("share"))
+
+
+def disclosive_terms(found: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(value, terms): for each entity its disclosive terms, each (term, removed)."""
+    flagged = associations(found, corpus, text).filter((F.col("surprise") >= F.col("needed") - 1e-6) & (F.col("share") >= GENERALISE_FROM))
     term = F.struct("term", (F.col("share") >= REMOVE_FROM).alias("removed"))
     return flagged.groupBy("value").agg(F.sort_array(F.collect_set(term)).alias("terms"))
 

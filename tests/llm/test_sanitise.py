@@ -101,6 +101,18 @@ def test_rare_values_and_distant_terms_are_weighed(spark):
     assert not any(x.value.startswith("filler") for r in by.values() for x in r.more)
 
 
+def test_near_copies_count_once(spark):
+    rng = random.Random(35)
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    rows = [(i, " ".join(rng.choice(filler) for _ in range(80))) for i in range(1000)]
+    page = [f"Only{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    for i in range(8):  # a word is changed every fifty characters or so, and the address too
+        own = [w if rng.random() > 0.04 else rng.choice(filler) for w in page]
+        rows.append((2000 + i, " ".join([*own[:70], f"write to p{i}@copied.example", *own[70:]])))
+    found = sanitise.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).filter("doc_id >= 2000").collect()
+    assert sum(len(r.more) for r in found) == 0
+
+
 def test_a_name_beside_the_addresses_of_one_domain_gives_it_away(spark):
     rng = random.Random(25)
     filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
