@@ -4,8 +4,8 @@ The top of the tree is fitted on a bounded sample and deals every vector to a bu
 a task fits the rest of the tree on all of the bucket's vectors, down to leaves of a few. A query
 goes down with a priority queue of the branches that it passes by, nearest first, and visits leaves until the
 queue holds nothing nearer than its reach. The reach is a multiple of a bound on the distance
-of the query's k-th neighbour, which the first leaves give; the multiple is widened until calibration queries,
-whose true neighbours are found by brute force, reach the wanted recall. What a task gives back is at
+of the query's k-th neighbour, which the first leaves give; the multiple is widened until a sample of the queries,
+whose true neighbours are found by brute force, reaches the wanted recall. What a task gives back is at
 most k + 1 rows a query, none beyond the bound. Equal vectors are one class with its smallest ids, so copies
 of a vector cost one row.
 """
@@ -31,7 +31,7 @@ FIT_ROWS, BRANCHES, LEAF_ROWS, BUCKET_ROWS, BUCKET_BYTES, LEAST_SAMPLE = 20_000,
 #: Leaves that are visited for the bound.
 FIRST_LEAVES = 64
 #: Calibration queries (in expectation) and the recall that they must reach.
-CALIBRATION, RECALL = 256, 0.93
+CALIBRATION, RECALL = 256, 0.94
 #: Queries that meet a bucket in one task.
 QUERY_ROWS = 1024
 #: Rounds of k-means; vectors of a node that k-means looks at for each centre.
@@ -247,7 +247,7 @@ def _search(vectors: DataFrame, dim: int, k: int, every: int, recall: float) ->
     index = Index.build(vectors, dim, most)
     queries = vectors.filter(F.col("vec_id") % every == 0).distinct()
     asked = materialise(queries.select("vec").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
-    factor, _ = index.calibrate(k, recall)
+    factor, _ = index.calibrate(asked, k, recall)
     found = index.nearest(asked, factor)
     mine = queries.join(asked, "vec").select(F.col("vec_id").alias("query_id"), "query")
     out = mine.join(found, "query").filter(F.col("vec_id") != F.col("query_id"))
@@ -360,28 +360,23 @@ class Index:
         right = parts.select(*keys, "tree", "vectors", "ids").groupBy(*keys)
         return left.cogroup(right).applyInArrow(_meeting(self.most, factor), FOUND)
 
-    def calibrate(self, k: int, recall: float) -> tuple[float, float]:
+    def calibrate(self, queries: DataFrame, k: int, recall: float) -> tuple[float, float]:
         """(factor, share): the least multiple of the squared bound within which queries find the wanted share of
         their true neighbours, and the share of all vectors that they are then compared with.
 
-        The queries, CALIBRATION in expectation, are indexed vectors; they are compared with all by brute force.
+        A sample of the queries (query, vec), CALIBRATION in expectation, is compared with all vectors by brute force.
         """
         most, spark = self.most, self.parts.sparkSession
-        share = CALIBRATION / max(1, self.classes)
-
-        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    part = Bucket.of(row)
-                    few = np.random.default_rng((17, row["bucket"], row["block"])).random(len(part.vectors)) < share
-                    if few.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in part.vectors[few]], pa.binary())], names=["vec"])
-
-        chosen = materialise(self.parts.mapInArrow(drawn, "vec binary").withColumn("query", F.monotonically_increasing_id()), "calibration")
-        first = self._first(chosen).groupBy("query").agg(F.when(F.count("*") >= most, F.max("score")).alias("bound"))
-        asked = chosen.join(first, "query").filter(F.col("bound") > 0).orderBy("query").collect()
+        hashed = F.pmod(F.xxhash64(F.lit("calibration"), "vec"), F.lit(1 << 20))
+        chosen = materialise(queries.filter(hashed < _share(queries.count(), CALIBRATION)).select("query", "vec"), "calibration")
+        first = materialise(self._first(chosen), "calibration-first")
+        bound = first.groupBy("query").agg(F.when(F.count("*") >= most, F.max("score")).alias("bound"))
+        asked = chosen.join(bound, "query").filter(F.col("bound") > 0).orderBy("query").collect()
         if not asked:
             return math.inf, 1.0
+        place = {r["query"]: q for q, r in enumerate(asked)}
+        # What the first leaves have is found whatever the reach.
+        early = {(place[r["query"]], r["vec_id"]) for r in first.collect() if r["query"] in place}
         points, bounds = matrix([bytes(r["vec"]) for r in asked]), np.array([r["bound"] for r in asked])
         above = self.top.priorities(_squared(points, self.top.centres))
         held = spark.sparkContext.broadcast((points, bounds, above))
@@ -399,17 +394,18 @@ class Index:
                     leaf = np.repeat(np.arange(len(nodes)), size)
                     at = np.concatenate([np.arange(a, b) for a, b in zip(part.tree.first[nodes], part.tree.last[nodes], strict=True)])
                     seen = [float((size * (need <= g)).sum()) for g in grid]
-                    rows = [(-1, 0.0, 0.0, seen)]
+                    rows = [(-1, 0.0, 0.0, 0, seen)]
                     for q, d in enumerate(distances(points, part.vectors[at])):
                         d[d == 0] = np.inf  # the query itself
                         near = np.argpartition(d, min(k, len(d)) - 1)[:k]
-                        rows.extend((q, float(d[x]), float(need[q, leaf[x]]), None) for x in near if np.isfinite(d[x]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["q", "d", "need", "seen"])
+                        rows.extend((q, float(d[x]), float(need[q, leaf[x]]), part.ids[at[x]][0], None) for x in near if np.isfinite(d[x]))
+                    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["q", "d", "need", "vec_id", "seen"])
 
-        told = materialise(self.parts.mapInArrow(brute, "q long, d double, need double, seen array<double>"), "calibrated")
-        best = Window.partitionBy("q").orderBy("d", "need")
+        told = materialise(self.parts.mapInArrow(brute, "q long, d double, need double, vec_id long, seen array<double>"), "calibrated")
+        best = Window.partitionBy("q").orderBy("d", "vec_id")
         truth = told.filter("q >= 0").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
-        need = np.sort([r["need"] for r in truth.select("need").collect()])
+        need = np.sort([0.0 if (r["q"], r["vec_id"]) in early else r["need"] for r in truth.select("q", "need", "vec_id").collect()])
         if not len(need):
             return math.inf, 1.0
         factor = float(need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)])  # widened until enough are in reach
