@@ -70,15 +70,15 @@ def shared_grams(items: DataFrame, family: str, item: str, data: str, ks: list[i
     lengths = items.sparkSession.createDataFrame([(k,) for k in ks], "k int")
     # Lengths are few and fixed: their cross product with the items is the grid of the sweep.
     grid = items.select(family, F.col(item).alias("_i"), data).crossJoin(F.broadcast(lengths))
-    held = grams(grid, data, "k").select("k", family, "_i", F.xxhash64("gram").alias("_h"), "gram").distinct()
-    # Who has a gram, as three sums over the holders; grams with the same holders are alike.
-    mark = F.xxhash64("_i")
-    holders = held.groupBy("k", family, "_h", "gram").agg(F.count("*").alias("_n"), F.bit_xor(mark).alias("_x"), F.sum(F.shiftrightunsigned(mark, 24)).alias("_s")).filter("_n > 1")
-    alike = holders.groupBy("k", family, "_n", "_x", "_s").agg(F.count("*").alias("_m"), F.min("gram").alias("gram")).withColumn("_h", F.xxhash64("gram"))
-    chosen = held.join(alike.select("k", family, "_h", "gram", "_m"), ["k", family, "_h", "gram"])
-    left = chosen.select("k", family, "_h", "gram", "_m", F.col("_i").alias("x"))
-    right = chosen.select("k", family, "_h", "gram", F.col("_i").alias("y"))
-    met = left.join(right, ["k", family, "_h", "gram"]).filter("x <> y")
+    held = grams(grid, data, "k").select("k", family, "_i", "gram").distinct()
+    # Who has a gram, as three sums over the holders; grams with the same holders are alike, and one stands for all.
+    holders, mark = Window.partitionBy("k", family, "gram"), F.xxhash64("_i")
+    named = held.select("*", F.count("*").over(holders).alias("_n"), F.bit_xor(mark).over(holders).alias("_x"), F.sum(F.shiftrightunsigned(mark, 24)).over(holders).alias("_s")).filter("_n > 1")
+    keys = ["k", family, "_n", "_x", "_s"]
+    alike = Window.partitionBy(*keys)
+    chosen = named.select("*", F.min("gram").over(alike).alias("_one"), (F.count("*").over(alike) / F.col("_n")).cast("long").alias("_m")).filter("gram = _one")
+    left, right = chosen.select(*keys, "_m", F.col("_i").alias("x")), chosen.select(*keys, F.col("_i").alias("y"))
+    met = left.join(right, keys).filter("x <> y")
     return met.groupBy("k", family, "x", "y").agg(F.sum("_m").alias("shared"))
 
 
