@@ -6,7 +6,7 @@ items: (family, item, args, target, body), calls with the request that each caus
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import evidence
@@ -129,17 +129,38 @@ def acceptance(held_out: DataFrame, frequency: DataFrame, k: int = K, least_mass
 def structural_matches(items: DataFrame, own_token: bool = True) -> DataFrame:
     """family (null for all), calls, self_matched, pairs, false_positives of the structural matcher.
 
-    items: (family, item, tokens, request), the tokens of a call and of its request. b is contained in a's request if
-    all its tokens are there. own_token: b must also have a token that a lacks, and two at least.
+    items: (family, item, tokens, request), the tokens of a call and of its request; item names one row. b is contained
+    in a's request if all its tokens are there. own_token: b must also have a token that a lacks, and two at least.
+
+    Pairs are counted, not made: equal calls are one row with their number, equal requests too, and a call meets only
+    the requests with its rarest token. Where own_token holds, only requests with a foreign token that some call has
+    take part, as one that has a's tokens alone holds no call that tells itself apart.
     """
-    calls = items.select("family", F.col("item").alias("b"), F.array_distinct("tokens").alias("tb")).filter(F.size("tb") > 0)
-    wires = items.select("family", F.col("item").alias("a"), F.array_distinct("tokens").alias("ta"), F.explode(F.array_distinct("request")).alias("token"))
-    hits = wires.join(calls.select("*", F.explode("tb").alias("token")), ["family", "token"])
-    held = hits.groupBy("family", "a", "b").agg(F.count("*").alias("n"), F.first("ta").alias("ta"), F.first("tb").alias("tb")).filter(F.col("n") == F.size("tb"))
-    told: Column = (F.size(F.array_except("tb", "ta")) > 0) & (F.size("tb") >= 2) if own_token else F.lit(True)
-    counts = held.groupBy("family").agg(F.count_if(F.col("a") == F.col("b")).alias("self_matched"), F.count_if((F.col("a") != F.col("b")) & told).alias("false_positives"))
-    sizes = items.groupBy("family").agg(F.count("*").alias("calls")).withColumn("pairs", F.col("calls") * (F.col("calls") - 1))
-    joined = sizes.join(counts, "family", "left")
+    sets = items.select("family", *[F.array_sort(F.array_distinct(c)).alias(n) for c, n in (("tokens", "ta"), ("request", "held"))])
+    own = F.col("family").isNotNull() & (F.size("ta") > 0) & (F.size(F.array_except("ta", "held")) == 0)
+    sizes = sets.groupBy("family").agg(F.count("*").alias("calls"), F.count_if(own).alias("self_matched")).withColumn("pairs", F.col("calls") * (F.col("calls") - 1))
+    calls = sets.filter(F.size("ta") >= (2 if own_token else 1)).groupBy("family", F.col("ta").alias("tb")).agg(F.count("*").alias("same_calls"))
+    owned = calls.select("*", F.explode("tb").alias("token"))
+    if own_token:
+        foreign = F.array_except("held", "ta")
+        wires = sets.filter(F.size(foreign) > 0).groupBy("family", "ta", "held").agg(F.count("*").alias("same_requests"))
+        known = wires.select("*", F.explode(foreign).alias("token")).join(owned.select("family", "token").distinct(), ["family", "token"], "left_semi")
+        wires = known.drop("token").distinct()
+    else:
+        wires = sets.groupBy("family", "held").agg(F.count("*").alias("same_requests"))
+    asked = wires.select("*", F.explode("held").alias("token"))
+    common = asked.groupBy("family", "token").agg(F.count("*").alias("df"))
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest")
+    sought = owned.join(common, ["family", "token"], "left").groupBy("family", "tb", "same_calls").agg(rarest).filter("rarest.df > 0")
+    met = asked.join(sought.select("family", "tb", "same_calls", "rarest.token"), ["family", "token"])
+    met = met.filter(F.size(F.array_except("tb", "held")) == 0)
+    if own_token:
+        met = met.filter(F.size(F.array_except("tb", "ta")) > 0)
+    counts = met.groupBy("family").agg(F.sum(F.col("same_calls") * F.col("same_requests")).alias("contained"))
+    contained = F.coalesce("contained", F.lit(0))
+    # With own_token no call is told from itself; without, each that its own request holds is counted once too often.
+    others = contained if own_token else contained - F.col("self_matched")
+    joined = sizes.join(counts, "family", "left").withColumn("false_positives", others)
     return joined.rollup("family").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("calls", "self_matched", "pairs", "false_positives")])
 
 

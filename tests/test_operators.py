@@ -422,3 +422,54 @@ def test_commands(spark, tmp_path, run, capsys):
     assert json.loads(capsys.readouterr().out)["self_matched"] == 1
     assert cli.main(["ksweep", "--corpus", str(tmp_path / "half.json"), "--least", "30", "--most", "40", "--step", "10"], spark) == 0
     assert [json.loads(x)["matched"] for x in capsys.readouterr().out.splitlines()] == [1, 0]
+
+
+def brute_structure(items, own_token):
+    found = {}
+    for f, a, ta, ra in items:
+        row = found.setdefault(f, [0, 0, 0])
+        row[0] += 1
+        for g, b, tb, _ in items:
+            if g != f or not tb or not set(tb) <= set(ra):
+                continue
+            if a == b:
+                row[1] += 1
+            elif not own_token or (len(set(tb)) >= 2 and set(tb) - set(ta)):
+                row[2] += 1
+    return found
+
+
+def shuffled_rows(spark, job):
+    """What a function returns, and the rows that its jobs shuffle."""
+    group = f"rows-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.mark.parametrize("own_token", [True, False])
+def test_structural_matches_equal_brute_force(spark, own_token):
+    rng = random.Random(11)
+    draw = lambda letters, most: [rng.choice(letters) for _ in range(rng.randint(0, most))]
+    items = [(i % 3, i, t := draw("abcd", 3), (t if i % 4 else t[1:]) + draw("abcdefg", 4)) for i in range(150)]
+    df = spark.createDataFrame(items, "family int, item int, tokens array<string>, request array<string>")
+    got = {r.family: r for r in calibration.structural_matches(df, own_token).collect()}
+    want = brute_structure(items, own_token)
+    assert {f: [r.calls, r.self_matched, r.false_positives] for f, r in got.items() if f is not None} == want
+    assert [got[None].calls, got[None].self_matched, got[None].false_positives] == [sum(c) for c in zip(*want.values(), strict=True)]
+    assert got[None].pairs == 3 * 50 * 49 and all(w[2] > 20 for w in want.values())
+
+
+@pytest.mark.parametrize("own_token", [True, False])
+def test_structural_matches_make_no_pairs_of_a_hosts_calls(spark, own_token):
+    n = 300
+    items = [(0, i, ["host", f"id{i}"], ["host", f"id{i}", f"id{i - 1}"]) for i in range(n)]
+    df = spark.createDataFrame(items, "family int, item int, tokens array<string>, request array<string>")
+    got, rows = shuffled_rows(spark, lambda: calibration.structural_matches(df, own_token).filter("family = 0").first())
+    assert (got.self_matched, got.false_positives) == (n, n - 1)
+    assert rows < 30 * n
