@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of calls and flows that one task holds while distinct values are counted.
+TASK_ROWS = 1 << 18
+
 
 def distribution(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, p50, p95 and max of a numeric column, as longs; zeros where there is no row and no group.
@@ -33,20 +36,46 @@ def zero_filled(counts: DataFrame, key: str, domain: Iterable[str], count: str =
     return fixed.join(counts, key, "full_outer").select(key, F.coalesce(count, F.lit(0)).cast("long").alias(count))
 
 
-def per_call(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column | None = None) -> DataFrame:
+def tasks_for(*tables: DataFrame) -> int:
+    """How many tasks the rows of tables are dealt to, so that none holds more than about TASK_ROWS; they are counted."""
+    rows = sum(t.count() for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def _tallied(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column | None, deal: tuple[int, str] | None) -> DataFrame:
+    """Aggregates of each call, with `literal` and `repaired`: whether those readings have it.
+
+    Calls and flows are one table that is grouped once: calls are rows without a flow's values, as are the flows that
+    do not count.
+    """
+    counts = F.lit(True) if count_flow is None else F.coalesce(count_flow, F.lit(False))
+    values = [c for c in flows.columns if c != call]
+    seen = flows.filter(F.col(call).isNotNull()).select(call, *[F.when(counts, F.col(c)).alias(c) for c in values], F.when(counts, True).alias("counted"), F.lit(True).alias("_flow"))
+    rows = seen.withColumn("_call", F.lit(None).cast("boolean")).unionByName(calls.select(call, F.lit(True).alias("_call")), allowMissingColumns=True)
+    if deal is not None:
+        rows = rows.repartition(deal[0], call, deal[1])
+    grouped = rows.groupBy(call).agg(*aggregates, F.max("counted").alias("_counted"), F.max("_flow").alias("_flow"), F.max("_call").alias("_call"))
+    caused, known = F.col("_counted").isNotNull(), F.col("_call").isNotNull()
+    return grouped.select("*", (caused | (known & F.col("_flow").isNull())).alias("literal"), (caused | known).alias("repaired")).drop("_counted", "_flow", "_call")
+
+
+def per_call(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column | None = None, deal: tuple[int, str] | None = None) -> DataFrame:
     """Aggregates of each call's flows, with a zero row for each call that has no flow at all.
 
+    aggregates: counts that skip nulls; `counted` is true for each flow that counts, so its count is their number.
     count_flow: which flows count. A call that has flows of which none counts is absent, as it was not
-    silent; `repaired` below gives it its zero.
+    silent; `repaired` below gives it its zero. deal: (tasks, column), by which rows are dealt first, so that distinct
+    values of the column are held by so many tasks, those of one call too; see `tasks_for`.
     """
-    counted = flows.filter(F.col(call).isNotNull())
-    kept = counted.filter(count_flow) if count_flow is not None else counted
-    grouped = kept.groupBy(call).agg(*aggregates)
-    names = [c for c in grouped.columns if c != call]
-    silent = calls.select(call).distinct().join(counted.select(call), call, "left_anti")
-    return grouped.unionByName(silent.select(call, *[F.lit(0).cast("long").alias(c) for c in names]))
+    return _tallied(calls, flows, call, aggregates, count_flow, deal).filter("literal").drop("literal", "repaired")
 
 
-def repaired(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column) -> DataFrame:
+def repaired(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column, deal: tuple[int, str] | None = None) -> DataFrame:
     """As per_call, but a call whose flows all fail `count_flow` is a zero too."""
-    return per_call(calls, flows.filter(count_flow), call, aggregates)
+    return _tallied(calls, flows, call, aggregates, count_flow, deal).filter("repaired").drop("literal", "repaired")
+
+
+def both_readings(calls: DataFrame, flows: DataFrame, call: str, aggregates: list[Column], count_flow: Column, deal: tuple[int, str] | None = None) -> DataFrame:
+    """The rows of per_call and of repaired under their `variant`, literal or repaired, from one grouping."""
+    names = F.array_compact(F.array(*[F.when(F.col(v), v) for v in ("literal", "repaired")]))
+    return _tallied(calls, flows, call, aggregates, count_flow, deal).withColumn("variant", F.explode(names)).drop("literal", "repaired")

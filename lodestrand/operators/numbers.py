@@ -32,7 +32,7 @@ def connections_per_call(run: Run, exclusions: DataFrame | None = None) -> DataF
     flows = _marked(_called(run.flows), exclusions)
     caused = evidence.call_caused()
     kept = F.count_if(~F.col("infrastructure"))
-    counted = per_call(run.calls, flows, "call_id", [F.count("*").alias("raw"), F.countDistinct("dest_host").alias("hosts"), kept.alias("kept")], caused)
+    counted = per_call(run.calls, flows, "call_id", [F.count("counted").alias("raw"), F.countDistinct("dest_host").alias("hosts"), kept.alias("kept")], caused)
     rows = counted.selectExpr("stack(3, 'connections_raw', raw, 'distinct_hosts', hosts, 'excluding_package_infrastructure', kept) AS (figure, v)")
     if exclusions is None:
         rows = rows.filter("figure <> 'excluding_package_infrastructure'")

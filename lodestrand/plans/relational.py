@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.operators import redaction
-from lodestrand.operators.distribution import distribution, per_call, repaired, zero_filled
+from lodestrand.operators.distribution import both_readings, distribution, per_call, tasks_for, zero_filled
 from lodestrand.operators.reports import curve
 from lodestrand.plans.registry import Query, table
 from lodestrand.sources import pcap
@@ -25,7 +25,7 @@ def _calls_and_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def fanout_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections and distinct destinations of each call, silent calls as zeros."""
     calls, flows = _calls_and_flows(spark, sf_dir)
-    counted = per_call(calls, flows, "call", [F.count("*").alias("connections"), F.countDistinct("host").alias("distinct_hosts")])
+    counted = per_call(calls, flows, "call", [F.count("counted").alias("connections"), F.countDistinct("host").alias("distinct_hosts")], deal=(tasks_for(flows, calls), "host"))
     stacked = counted.selectExpr("stack(2, 'connections', connections, 'distinct_hosts', distinct_hosts) AS (metric, v)")
     return distribution(stacked, "v", ["metric"])
 
@@ -43,9 +43,7 @@ def distinct_hosts_per_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destinations of call-caused flows; a call with other flows only is absent, and a zero when repaired."""
     calls, flows = _calls_and_flows(spark, sf_dir)
     caused, hosts = F.col("l_returnflag") != "R", [F.countDistinct("host").alias("v")]
-    literal = per_call(calls, flows, "call", hosts, caused).withColumn("variant", F.lit("literal"))
-    fixed = repaired(calls, flows, "call", hosts, caused).withColumn("variant", F.lit("repaired"))
-    return distribution(literal.unionByName(fixed), "v", ["variant"])
+    return distribution(both_readings(calls, flows, "call", hosts, caused, (tasks_for(flows, calls), "host")), "v", ["variant"])
 
 
 HOSTS = """

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestrand import cli
 from lodestrand.operators import bench, calibration, control, disclosure, matching, numbers, redaction, reports
+from lodestrand.operators import distribution as distributions
 from lodestrand.operators.containment import candidates, simulate
 from lodestrand.operators.distribution import distribution, zero_filled
 from lodestrand.operators.temporal import as_of, in_flight_changes
+from lodestrand.plans import relational
 from lodestrand.schema import CALLS, DEFAULTS, FLOWS
 from lodestrand.sources import corpora, pcap, runs
 
@@ -473,3 +475,47 @@ def test_structural_matches_make_no_pairs_of_a_hosts_calls(spark, own_token):
     got, rows = shuffled_rows(spark, lambda: calibration.structural_matches(df, own_token).filter("family = 0").first())
     assert (got.self_matched, got.false_positives) == (n, n - 1)
     assert rows < 30 * n
+
+
+def test_distinct_per_call_equals_brute_force(spark):
+    rng = random.Random(5)
+    flows = [(rng.choice([None, *range(60)]), rng.choice([None, *"abcd"]), rng.choice(["R", "N", None])) for _ in range(150)]
+    calls = [rng.randrange(20, 90) for _ in range(70)]
+    of = lambda c: [h for call, h, flag in flows if call == c and flag == "N"]
+    caused = {c: (len(set(of(c)) - {None}), len(of(c))) for c in range(60) if of(c)}
+    seen = {call for call, _, _ in flows}
+    want = {"literal": {c: (0, 0) for c in calls if c not in seen} | caused, "repaired": {c: (0, 0) for c in calls} | caused}
+    rows, known = spark.createDataFrame(flows, "call int, host string, flag string"), spark.createDataFrame([(c,) for c in calls], "call int")
+    shape, counts = [F.countDistinct("host").alias("v"), F.count("counted").alias("n")], F.col("flag") != "R"
+    plain = lambda found: sorted((r.call, (r.v, r.n)) for r in found)
+    for deal in (None, (7, "host")):
+        both = distributions.both_readings(known, rows, "call", shape, counts, deal).collect()
+        for name, build in (("literal", distributions.per_call), ("repaired", distributions.repaired)):
+            assert plain(r for r in both if r.variant == name) == sorted(want[name].items())
+            assert plain(build(known, rows, "call", shape, counts, deal).collect()) == sorted(want[name].items())
+
+
+def most_rows_of_a_task(spark, job):
+    """What a function returns, and the most rows that a task of its jobs takes from a shuffle."""
+    group = f"most-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store, most = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), 0
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 10_000)
+        most = max([most, *(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.length()))])
+    return out, most
+
+
+def test_distinct_hosts_of_one_call_are_held_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(distributions, "TASK_ROWS", 1000, raising=False)
+    spark.range(500).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    flows = spark.range(12000).select(F.lit(1).cast("long").alias("l_orderkey"), F.col("id").alias("l_suppkey"), F.lit("N").alias("l_returnflag"))
+    flows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    for query in (relational.distinct_hosts_per_call, relational.fanout_distribution):
+        found, most = most_rows_of_a_task(spark, lambda q=query: q(spark, str(tmp_path)).collect())
+        assert {(r.n, r.p50, r["max"]) for r in found} == {(500, 0, 12000)}
+        assert most < 2000
